@@ -10,7 +10,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 PACKAGE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
@@ -104,3 +105,25 @@ def slices(data: bytes, starts: np.ndarray) -> pa.Array:
     else:
         kind, dtype = pa.large_binary(), np.int64
     return pa.Array.from_buffers(kind, len(starts) - 1, [None, pa.py_buffer(np.ascontiguousarray(starts, dtype)), pa.py_buffer(data)])
+
+
+#: Rows of the bitmaps below, of 64 bits each: so much is broadcast at most.
+BITMAP_WORDS = 1 << 18
+
+
+def _bit(key: Column, n_words: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(64 * n_words))
+
+
+def bitmap(rows: DataFrame, key: Column, n_words: int = BITMAP_WORDS) -> DataFrame:
+    """A table of at most n_words rows with a bit set for the hash of each key."""
+    bits = rows.select(_bit(key, n_words).alias("bit"))
+    return bits.groupBy(F.shiftright("bit", 6).cast("int").alias("word_")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits_"))
+
+
+def maybe_in(rows: DataFrame, key: Column, bits: DataFrame, n_words: int = BITMAP_WORDS) -> DataFrame:
+    """The rows whose key is in a bitmap's table, and some others: what is left is joined exactly, but
+    fewer rows are shuffled for it. The bitmap has a fixed size, so it can be broadcast."""
+    columns = rows.columns
+    at = rows.withColumn("bit_", _bit(key, n_words)).withColumn("word_", F.shiftright("bit_", 6).cast("int"))
+    return at.join(F.broadcast(bits), "word_").where("shiftright(bits_, cast(bit_ & 63 as int)) & 1 = 1").select(*(F.col(f"`{c}`") for c in columns))
