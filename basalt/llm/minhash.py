@@ -7,7 +7,7 @@ same set form one class, and only classes go on. A bucket links its members to o
 each other, so its candidate pairs grow with its size. Each pair is confirmed on the full sets.
 
 A star can miss a link between two members that are both unlike the centre. So a bucket whose
-members haven't come together in one component gets further centres, twice as many in each round
+members haven't come together in one component gets further centres, more of them in each round
 and those with most confirmed links first, until its members are one component or each has been a
 centre. Pairs inside a component or tried before aren't tried again. No bucket has a cap.
 
@@ -32,6 +32,8 @@ from basalt.llm.words import mix, odd, shingle_sets
 BANDS, ROWS = 42, 6
 BINS = BANDS * ROWS
 GROUP_BYTES = 1 << 20
+#: Further centres of a bucket that isn't one component, in the first round; four times as many in each later one.
+FIRST_CENTRES = 8
 
 
 @functools.cache
@@ -124,27 +126,29 @@ def confirmed(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, w
     pairs = members.where("node <> centre.node").select(F.col("centre.node").alias("u"), F.col("centre.n").alias("m"), F.col("node").alias("v"), "n")
     pairs = saved(pairs.where(near).select("u", "v").distinct(), "pairs")
     sets = saved(sets_of(docs, classes, members.select("node").distinct(), id_col, text_col, width), "sets")
-    links = tried = None
+    links = saved(similar(pairs, sets, percent), "links")
+    tried, roots = pairs, components(links)
     left = members.where("size > 2").select("key", "node", "n", F.col("node").eqNullSafe(F.col("centre.node")).alias("was"))
-    left, centres = saved(left, "left"), 1
+    left, centres = saved(left, "left"), FIRST_CENTRES
     while True:
-        new = saved(similar(pairs, sets, percent), "links")
-        links = new if links is None else links.union(new)
-        tried = pairs if tried is None else tried.union(pairs)
-        if left.isEmpty():
-            return links
-        roots = components(links)
         degree = links.select(F.col("u").alias("node")).union(links.select("v")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
-        left = left.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(degree, "node", "left").na.fill(0, ["degree"])
-        state = left.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.sum(F.expr("cast(not was as int)")).alias("open"))
-        left = left.join(state.where("low < high and open > 0").select("key"), "key")
-        order = bucket.orderBy(F.col("was"), F.col("degree").desc(), F.col("node"))
-        left = saved(left.withColumn("place", F.row_number().over(order)).withColumn("now", F.expr(f"not was and place <= {2 * centres}")), "left")
-        centres *= 2
+        named = left.join(roots.join(degree, "node"), "node", "left").withColumn("root", F.coalesce("root", "node")).na.fill(0, ["degree"])
+        # a bucket is done when it is one component or has no member left that wasn't a centre
+        state = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.sum(F.expr("cast(not was as int)")).alias("open"))
+        named = named.join(state.where("low < high and open > 0").select("key"), "key")
+        place = F.row_number().over(bucket.orderBy(F.col("was"), F.col("degree").desc(), F.col("node")))
+        left = saved(named.withColumn("now", ~F.col("was") & (place <= centres)), "left")
         chosen = left.where("now").select("key", F.col("node").alias("c"), F.col("n").alias("m"), F.col("root").alias("c_root"))
         pairs = left.join(chosen, "key").where("root <> c_root").where(near).select(F.least("node", "c").alias("u"), F.greatest("node", "c").alias("v")).distinct()
         pairs = saved(pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
         left = left.select("key", "node", "n", (F.col("was") | F.col("now")).alias("was"))
+        if left.isEmpty():
+            return links
+        new = saved(similar(pairs, sets, percent), "links")
+        if not new.isEmpty():
+            links = links.union(new)
+            roots = components(links)
+        tried, centres = tried.union(pairs), 4 * centres
 
 
 def sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
