@@ -1,0 +1,212 @@
+import io
+import threading
+import time
+
+import pytest
+
+from basalt.cli import Shell
+from basalt.operators import keyed, wal
+from basalt.operators.engine import Engine
+from basalt.operators.transactions import EXCLUSIVE, SHARED, LockManager, LockTimeout, TransactionManager
+from basalt.plans.syntax import ColumnSpec
+from basalt.sources.catalog import Catalog, Index
+
+
+@pytest.fixture
+def engine(spark, tmp_path):
+    return Engine(spark, f"file://{tmp_path}/w")
+
+
+def rows(result):
+    assert result.success, result.text
+    return sorted(map(tuple, result.frame.collect()), key=repr)
+
+
+def users(engine):
+    assert engine.execute("CREATE TABLE users (id INTEGER, age INTEGER, name VARCHAR(5))").message == "Table created: users"
+    txn = engine.begin()
+    for i, age, name in ((1, 25, "Alice"), (2, 30, "Bob"), (3, 20, "Charlie the long")):
+        r = engine.execute(f"INSERT INTO users VALUES ({i}, {age}, '{name}')", txn)
+        assert (r.message, r.rows_affected) == ("INSERT completed", 1)
+    assert engine.execute("SELECT id FROM users", txn).rows_affected == 3
+    assert engine.execute("SELECT id FROM users").rows_affected == 0
+    assert engine.commit(txn) and not engine.commit(txn)
+
+
+def test_tables(engine):
+    users(engine)
+    r = engine.execute("SELECT name FROM users WHERE id > 1 AND age >= 25")
+    assert rows(r) == [("Bob",)] and r.message == "SELECT completed (sequential scan)" and r.rows_affected == 1
+    assert rows(engine.execute("SELECT id, id FROM users WHERE name = 'Charlie the long'")) == [(3, 3)]
+    assert rows(engine.execute("SELECT * FROM users WHERE nobody = 1")) == []
+    engine.execute("CREATE TABLE other (id INTEGER)")
+    assert rows(engine.execute("SELECT * FROM other")) == []
+    engine.execute("INSERT INTO other VALUES (7)")
+    assert rows(engine.execute("SELECT * FROM other")) == [(7,)]
+
+
+def test_insert_forms(engine):
+    engine.execute("CREATE TABLE t (a INTEGER, b VARCHAR, c BOOLEAN)")
+    for sql in ("INSERT INTO t VALUES (2 * -3, 'x', 1 < 2)", "INSERT INTO t (b, a) VALUES ('y', 4)", "INSERT INTO t (a, a) VALUES (1, 2)", "INSERT INTO t (a) VALUES (c)"):
+        assert engine.execute(sql).success, sql
+    assert rows(engine.execute("SELECT * FROM t")) == [(-6, "x", True), (2, None, None), (4, "y", None), (None, None, None)]
+
+
+@pytest.mark.parametrize(
+    "sql,message",
+    [
+        (None, "Null statement"),
+        ("CREATE TABLE t (x INTEGER)", "Table already exists: t"),
+        ("CREATE INDEX i ON u (a)", "Table does not exist: u"),
+        ("CREATE INDEX i ON t (z)", "Column does not exist: z"),
+        ("SELECT * FROM u", "Table does not exist: u"),
+        ("SELECT A FROM t", "Column does not exist: A"),
+        ("INSERT INTO u VALUES (1)", "Table does not exist: u"),
+        ("INSERT INTO t VALUES (1)", "Value count does not match table schema"),
+        ("INSERT INTO t (a) VALUES (1, 2)", "Column count does not match value count"),
+        ("INSERT INTO t (z) VALUES (1)", "Column does not exist: z"),
+        ("INSERT INTO t (a) VALUES (1 / 0)", "Failed to evaluate expression"),
+        ("INSERT INTO t (a) VALUES ('1')", "Wrong type for column: a"),
+        ("SELEC", "Parse error at line 1, column 1: Expected CREATE, SELECT, or INSERT"),
+    ],
+)
+def test_failures(engine, sql, message):
+    engine.execute("CREATE TABLE t (a INTEGER, b VARCHAR(3))")
+    r = engine.execute(sql)
+    assert not r.success and r.message == message
+
+
+def test_index(engine):
+    users(engine)
+    assert engine.execute("CREATE INDEX idx_id ON users (id)").message == "Index created: idx_id"
+    assert engine.execute("CREATE INDEX idx_id ON users (age)").message == "Index already exists: idx_id"
+    hit = engine.execute("SELECT name FROM users WHERE 2 = id")
+    assert rows(hit) == [("Bob",)] and hit.message == "SELECT completed (index scan)"
+    assert engine.execute("SELECT * FROM users WHERE id = 99").message == "SELECT completed (index scan, no match)"
+    for sql in ("id > 2", "age = 30", "id = 2 AND age = 30", "id = -2"):
+        assert engine.execute(f"SELECT * FROM users WHERE {sql}").message == "SELECT completed (sequential scan)"
+    engine.execute("INSERT INTO users VALUES (99, 1, 'late')")
+    assert rows(engine.execute("SELECT name FROM users WHERE id = 99")) == [("late",)]
+    assert "index scan on users using idx_id (id = 2), cost 3.00" in engine.explain("SELECT * FROM users WHERE id = 2")
+    assert "cost 3.33" in engine.explain("SELECT * FROM users WHERE id > 2")
+
+
+def test_abort_publishes_nothing(engine):
+    engine.execute("CREATE TABLE t (a INTEGER)")
+    txn = engine.begin()
+    engine.execute("INSERT INTO t VALUES (1)", txn)
+    assert engine.abort(txn) and not engine.abort(txn)
+    assert rows(engine.execute("SELECT * FROM t")) == []
+
+
+def test_catalog(spark, tmp_path):
+    path = f"file://{tmp_path}/c"
+    c = Catalog(spark, path)
+    columns = (ColumnSpec("id", "INTEGER", nullable=False), ColumnSpec("email", "VARCHAR", 100))
+    assert c.create_table("t", columns) and not c.create_table("t", columns)
+    assert c.add_index("t", Index("i", "id")) and not c.add_index("t", Index("i", "email")) and not c.add_index("u", Index("i", "id"))
+    again = Catalog(spark, path)
+    assert again.list_tables() == ["t"] and again.get_table("t") == c.get_table("t") and again.get_table("u") is None
+    schema = again.get_table("t").to_schema()
+    assert not schema["id"].nullable and schema["email"].metadata == {"max_length": 100}
+    assert again.remove_index("t", "i") and not again.remove_index("t", "i")
+    assert again.drop_table("t") and not again.drop_table("t")
+    assert Catalog(spark, path).list_tables() == []
+
+
+def test_keyed_table(spark, tmp_path):
+    c = Catalog(spark, f"file://{tmp_path}/k")
+    t = keyed.KeyedTable(c, "k", (ColumnSpec("key", "INTEGER"), ColumnSpec("data", "VARCHAR", 50)))
+    assert t.empty()
+    assert t.insert([(k, f"data_{k}") for k in range(10, 101, 10)]) == 10
+    assert t.insert([(10, "again"), (None, "no key"), (-5, "first"), (-5, "second")]) == 1
+    assert t.search(10) == (10, "data_10") and t.search(-5) == (-5, "first") and t.search(7) is None
+    assert t.delete(50) and not t.delete(50) and t.size() == 10
+    assert t.update(10, (10, "new and longer")) and not t.update(10, (11, "x")) and not t.update(7, (7, "x"))
+    assert keyed.KeyedTable(c, "k").search(10) == (10, "new and longer")
+    assert t.insert([(50, "back")]) == 1
+    strict = keyed.KeyedTable(c, "k", strict_tombstones=True)
+    assert strict.delete(50) and strict.insert([(50, "no"), (51, "yes")]) == 1
+
+
+def test_heap(spark, tmp_path):
+    h = keyed.Heap(Catalog(spark, f"file://{tmp_path}/h"), "h", (ColumnSpec("a", "INTEGER"), ColumnSpec("b", "VARCHAR")))
+    ids = h.insert((1, "x"), (2, "y"), (3, None))
+    assert h.tuple_count() == 3 and h.get(ids[1]) == (2, "y")
+    assert h.update(ids[1], (5, "longer than before")) and h.get(ids[1]) == (5, "longer than before")
+    assert h.delete(ids[0]) and not h.delete(ids[0]) and h.get(ids[0]) is None and not h.update(ids[0], (1, "x"))
+    assert h.insert((9, "z")) == [ids[2] + 1] and h.tuple_count() == 3
+
+
+def log_of(spark, records):
+    return spark.createDataFrame([(i + 1, *r) for i, r in enumerate(records)], wal.SCHEMA)
+
+
+def test_log(spark, tmp_path):
+    log = wal.WriteAheadLog(spark, f"file://{tmp_path}/log")
+    assert [log.append(1, "BEGIN"), log.append(1, "UPDATE", 3, b"a", b"b"), log.append(1, "COMMIT")] == [1, 2, 3]
+    assert log.read(2).first()["after_image"] == b"b"
+    log.flush()
+    again = wal.WriteAheadLog(spark, f"file://{tmp_path}/log")
+    assert again.next_lsn == 4 and again.append(2, "BEGIN") == 4
+    assert [r.lsn for r in again.read_all().collect()] == [1, 2, 3, 4] and again.read(9).isEmpty()
+    with pytest.raises(ValueError):
+        log.append(1, "CHECKPOINT")
+
+
+def test_recovery(spark):
+    log = log_of(spark, [
+        (1, "BEGIN", None, None, None), (1, "UPDATE", 1, b"AAAA", b"BBBB"), (1, "COMMIT", None, None, None),
+        (2, "BEGIN", None, None, None), (2, "UPDATE", 2, b"old", b"new"), (2, "UPDATE", 2, b"new", b"newer"),
+        (3, "BEGIN", None, None, None), (3, "INSERT", 3, b"", b"row"), (3, "ABORT", None, None, None),
+        (4, "INSERT", 1, b"BBBB", b"CC"),
+    ])
+    txns = {r.txn_id: (r.last_lsn, r.active, r.committed) for r in wal.analysed_transactions(log).collect()}
+    assert txns == {1: (3, False, True), 2: (6, True, False), 3: (9, False, False), 4: (10, True, False)}
+    assert {(r.page_id, r.first_lsn) for r in wal.dirty_pages(log).collect()} == {(1, 2), (2, 5), (3, 8)}
+    assert {(r.page_id, bytes(r.image), r.n_redone) for r in wal.redone(log).collect()} == {(1, b"CC", 2), (2, b"newer", 2), (3, b"row", 1)}
+    assert {(r.page_id, bytes(r.image), r.n_undone) for r in wal.undone(log).collect()} == {(1, b"BBBB", 1), (2, b"old", 2)}
+    pages = spark.createDataFrame([(1, b"????!"), (2, b"??"), (9, b"kept")], "page_id int, data binary")
+    assert {(r.page_id, bytes(r.data)) for r in wal.recover(pages, log).collect()} == {(1, b"BBBB!"), (2, b"old"), (9, b"kept")}
+
+
+def test_transactions(spark, tmp_path):
+    log = wal.WriteAheadLog(spark, f"file://{tmp_path}/txn")
+    with TransactionManager(log) as m:
+        a, b = m.begin(), m.begin()
+        assert (a.id, b.id, m.next_id, m.active_count) == (1, 2, 3, 2) and m.get(1) is a
+        assert m.commit(a) and not m.commit(a) and not m.abort(a) and not m.commit(None) and m.get(1) is None
+        m.locks.lock_exclusive(b, 4)
+    assert b.state == "aborted" and not m.locks.holds_lock(b, 4)
+    assert [r.type for r in log.read_all().collect()] == ["BEGIN", "BEGIN", "COMMIT", "ABORT"]
+
+
+def test_locks():
+    m = TransactionManager(locks=LockManager(timeout=0.2))
+    locks, (a, b) = m.locks, (m.begin(), m.begin())
+    assert locks.lock_shared(a, 1) and locks.lock_shared(a, 1) and locks.lock_shared(b, 1)
+    assert not locks.lock_upgrade(a, 2)
+    with pytest.raises(LockTimeout):
+        locks.lock_exclusive(a, 1)
+    assert locks.unlock(b, 1) and not locks.unlock(b, 1)
+    assert locks.lock_exclusive(a, 1) and locks.holds_lock(a, 1, EXCLUSIVE) and locks.holds_lock(a, 1, SHARED)
+    with pytest.raises(LockTimeout):
+        locks.lock_shared(b, 1)
+    got = []
+    locks.timeout = 5
+    waiting = threading.Thread(target=lambda: got.append(locks.lock_shared(b, 1)))
+    waiting.start()
+    time.sleep(0.05)
+    m.commit(a)
+    waiting.join()
+    assert got == [True] and not locks.lock_shared(a, 1)
+
+
+def test_shell(spark, tmp_path):
+    out = io.StringIO()
+    shell = Shell(Engine(spark, f"file://{tmp_path}/s"), out)
+    shell.run(["\\tables", "CREATE TABLE t (a INTEGER, -- a comment", " b VARCHAR(9));", "INSERT INTO t VALUES (1, 'one');", "CREATE INDEX i ON t (a);", "SELECT * FROM t;", "SELECT z FROM t;", "oops;", "\\desc t", "\\desc u", "\\tables", "\\what", "\\q", "never"])
+    text = out.getvalue()
+    for part in ("No tables found.", "Table created.", "1 row inserted.", "Index created.", "a | b", "1 | one", "1 row returned.", "Error: Column does not exist: z", "Error: Parse error", "index i on column 0", "Table 'u' not found.", "t (2 columns)", "Unknown command"):
+        assert part in text, part
+    assert shell.engine.transactions.active_count == 0
