@@ -115,22 +115,42 @@ def identify(docs: DataFrame, learn_from: Column, id_col: str = "doc_id", text_c
 
     def predict(batches):
         for batch in batches:
-            column = pc.fill_null(batch.column(1), "")
-            for a, b in byte_groups(column, GROUP_BYTES):
-                buckets, bounds = trigrams(column.slice(a, b - a).to_pylist())
-                rows = []
-                for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                    if i == j or not names:
-                        rows.append(("und", 0.0, 0))
-                    else:
-                        lang, score, n = infer(model, buckets[i:j])
-                        rows.append((names[lang], score, n))
-                pred, score, n = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(pred), pa.array(score), pa.array(n, pa.int32())], names=[id_col, "lang_pred", "score", "n_langs"])
+            pred, score, n = verdicts(batch.column(1), names, model)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(n, pa.int32())], names=[id_col, "lang_pred", "score", "n_langs"])
 
     return source.mapInArrow(predict, f"`{id_col}` {kind}, lang_pred string, score double, n_langs int")
 
 
+def verdicts(texts: pa.Array, names: list[str], model: np.ndarray) -> tuple[list, list, list]:
+    """Language, score and number of languages of each text."""
+    rows = []
+    texts = pc.fill_null(texts, "")
+    for a, b in byte_groups(texts, GROUP_BYTES):
+        buckets, bounds = trigrams(texts.slice(a, b - a).to_pylist())
+        for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            if i == j or not names:
+                rows.append(("und", 0.0, 0))
+            else:
+                lang, score, n = infer(model, buckets[i:j])
+                rows.append((names[lang], score, n))
+    return tuple(map(list, zip(*rows, strict=True))) if rows else ([], [], [])
+
+
+def identified(docs: DataFrame, learn_from: Column, least_score: float = 0.5, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of docs, all columns, whose language identify() can tell: not `und`, and a language
+    with a proportion of at least least_score. Cases as there; no shuffle but for learning."""
+    ship(docs.sparkSession)
+    names, model = learn(docs.where(learn_from).where(F.col(lang_col).isNotNull()).select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")))
+    at = docs.columns.index(text_col)
+
+    def keep(batches):
+        for batch in batches:
+            pred, score, _ = verdicts(batch.column(at), names, model)
+            yield batch.filter(pa.array([p != "und" and s >= least_score for p, s in zip(pred, score, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def held_out(id_: Column) -> Column:
     """Whether a row is kept from learning: crc32 of its id as text, modulo 5, is 0, or the id is null."""
     return F.coalesce(F.crc32(id_.cast("string").cast("binary")) % 5 == 0, F.lit(True))

@@ -1,8 +1,8 @@
 """Near-duplicates by one-permutation hashing.
 
-Each document's set of word shingles is hashed once; the smallest hash in each of BINS bins is its
+Each document's set of word shingles is hashed once; the smallest hash in each bin is its
 signature, an empty bin takes the value of the non-empty bin that comes first in an order of its
-own (optimal densification), and BANDS bands of ROWS bins give the bucket keys. Documents with the
+own (optimal densification), and bands of ROWS bins give the bucket keys. Documents with the
 same set form one class, and only classes go on. A bucket links its members to one centre, not to
 each other, so its candidate pairs grow with its size. Each pair is confirmed on the full sets.
 
@@ -11,7 +11,7 @@ members haven't come together in one component gets further centres, more of the
 and those with most confirmed links first, until its members are one component or each has been a
 centre. Pairs inside a component or tried before aren't tried again. No bucket has a cap.
 
-A pair with similarity 0.85 shares no bucket at all with probability below 1e-8.
+Bands are chosen so that a pair at the threshold shares no bucket with probability below 1e-8.
 """
 
 from __future__ import annotations
@@ -29,38 +29,42 @@ from basalt.llm.common import bitmap, byte_groups, maybe_in, saved, ship, utf8
 from basalt.llm.components import components
 from basalt.llm.words import mix, odd, shingle_sets
 
-BANDS, ROWS = 42, 6
-BINS = BANDS * ROWS
+ROWS = 6
+#: Bands by the least percent they serve.
+BANDS = {85: 42, 80: 64}
 GROUP_BYTES = 1 << 20
+#: So many ids are broadcast at most.
+BROADCAST_ROWS = 1_000_000
 #: Further centres of a bucket that isn't one component, in the first round; four times as many in each later one.
 FIRST_CENTRES = 8
 
 
 @functools.cache
-def orders() -> np.ndarray:
+def orders(bins: int) -> np.ndarray:
     """For each bin, a rank of every other bin."""
-    return mix(odd(BINS, BINS, seed=7)).astype(np.uint32)
+    return mix(odd(bins, bins, seed=7)).astype(np.uint32)
 
 
 @functools.cache
-def multipliers() -> np.ndarray:
-    return odd(BANDS, ROWS, seed=8)
+def multipliers(bands: int) -> np.ndarray:
+    return odd(bands, ROWS, seed=8)
 
 
-def bucket_keys(hashes: np.ndarray) -> np.ndarray:
-    """The BANDS bucket keys of a non-empty sorted array of distinct hashes."""
-    bins = (((hashes >> np.uint64(32)) * np.uint64(BINS)) >> np.uint64(32)).astype(np.int64)
+def bucket_keys(hashes: np.ndarray, bands: int) -> np.ndarray:
+    """The bucket keys of a non-empty sorted array of distinct hashes, one for each band."""
+    n = bands * ROWS
+    bins = (((hashes >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.int64)
     first = np.flatnonzero(np.diff(bins, prepend=-1))
     full = bins[first]
-    signature = np.zeros(BINS, np.uint64)
+    signature = np.zeros(n, np.uint64)
     signature[full] = hashes[first]
-    if len(full) < BINS:
-        empty = np.ones(BINS, bool)
+    if len(full) < n:
+        empty = np.ones(n, bool)
         empty[full] = False
         empty = np.flatnonzero(empty)
-        signature[empty] = signature[full[np.argmin(orders()[empty][:, full], axis=1)]]
-    keys = mix((mix(signature.reshape(BANDS, ROWS)) * multipliers()).sum(axis=1, dtype=np.uint64))
-    return mix(keys + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+        signature[empty] = signature[full[np.argmin(orders(n)[empty][:, full], axis=1)]]
+    keys = mix((mix(signature.reshape(bands, ROWS)) * multipliers(bands)).sum(axis=1, dtype=np.uint64))
+    return mix(keys + np.arange(bands, dtype=np.uint64)).view(np.int64)
 
 
 def of_sets(docs: DataFrame, id_col: str, text_col: str, width: int, schema: str, row) -> DataFrame:
@@ -88,19 +92,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row for each input row: the id, n_shingles (size of its set), component_id (the smallest
     id that links reach, its own included) and kept (id = component_id).
 
-    Texts are linked if 100 * intersection >= percent * union of their shingle sets (percent 85 or
-    more: the bands are set for that). Null, empty and wordless texts have n_shingles 0 and are
+    Texts are linked if 100 * intersection >= percent * union of their shingle sets (percent is 80 or
+    more: there are bands for that). Null, empty and wordless texts have n_shingles 0 and are
     linked with nothing; a text of fewer than `width` words is one shingle. Rows with null ids take
     part, but no null becomes a component_id while the component has another id. Repeated rows get
     the same values. An empty table gives an empty one. Other columns are ignored. Ids sort as
     their type does, so ties cannot occur.
     """
-    if percent < 85:
-        raise ValueError("the bands are set for 85 percent or more")
+    bands = next((n for least, n in BANDS.items() if percent >= least), None)
+    if bands is None:
+        raise ValueError(f"there are bands for {min(BANDS)} percent or more only")
     ship(docs.sparkSession)
 
     def signature(s):
-        return (fingerprint(s), len(s), bucket_keys(s).tolist() if len(s) else [])
+        return (fingerprint(s), len(s), bucket_keys(s, bands).tolist() if len(s) else [])
 
     rows = saved(of_sets(docs, id_col, text_col, width, "fp binary, n long, keys array<long>", signature), "signatures")
     some = rows.where("n > 0")
@@ -116,6 +121,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
 
 
+def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one document of each component, the one of the smallest id; all columns stay.
+
+    Of rows that repeat an id any one stays. Rows without an id
+    can't be named and stay. Few ids to remove are broadcast, so that texts aren't shuffled.
+    """
+    found = saved(near_duplicates(docs, id_col, text_col, width, percent).where(F.col(id_col).isNotNull()), "near-duplicates")
+    removed = named(found.where("not kept"), id_col)
+    repeated = named(found.groupBy(id_col).count().where("count > 1"), id_col)
+    rest = docs.join(removed, id_col, "left_anti").select(*docs.columns)
+    single = rest.join(repeated, id_col, "left_anti").select(*docs.columns)
+    return single.union(rest.join(repeated, id_col, "left_semi").select(*docs.columns).dropDuplicates([id_col]))
+
+
+def named(rows: DataFrame, id_col: str) -> DataFrame:
+    """The distinct ids of rows, marked for broadcast if they are at most BROADCAST_ROWS."""
+    ids = saved(rows.select(id_col).distinct(), "ids")
+    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+
+
 def confirmed(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
     """Links u, v between classes: enough of them to join what any two similar classes of a bucket join."""
     bucket = Window.partitionBy("key")

@@ -21,7 +21,9 @@ from basalt.llm.words import mix, odd
 
 BUCKETS = 1 << 16
 GROUP_BYTES = 1 << 20
-SMOOTHING = 1.0
+#: Pseudo-counts of the target model, in all, spread as the raw model is: an n-gram unseen in a small
+#: target counts against a document a little, one unseen in a large target a lot.
+PRIOR = BUCKETS / 2
 #: Ids of target documents are broadcast up to so many, else joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 BINS = 4096
@@ -68,9 +70,11 @@ def log_weights(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id",
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     wanted = target_ids.select(F.col(target_ids.columns[0]).alias("id")).where("id is not null").distinct()
     wanted = F.broadcast(wanted) if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else wanted
-    target, raw = counts(texts.join(wanted, "id", "left_semi")) + SMOOTHING, counts(texts) + SMOOTHING
-    half = BUCKETS // 2  # pre-tokens and pairs have a distribution each
-    ratio = np.concatenate([np.log(target[s] / target[s].sum()) - np.log(raw[s] / raw[s].sum()) for s in (slice(half), slice(half, None))])
+    target, raw = counts(texts.join(wanted, "id", "left_semi")), np.maximum(counts(texts), 1e-9)
+    ratio = np.zeros(BUCKETS)
+    for s in (slice(BUCKETS // 2), slice(BUCKETS // 2, None)):  # pre-tokens and pairs have a distribution each
+        p = raw[s] / raw[s].sum()
+        ratio[s] = np.log((target[s] + PRIOR * p) / (target[s].sum() + PRIOR)) - np.log(p)
 
     def weigh(batches):
         for batch in batches:
@@ -122,7 +126,7 @@ def resample(docs: DataFrame, target_ids: DataFrame, share: float, id_col: str =
 
     Null and empty texts have log weight 0; null ids share one draw; repeated rows draw alike; an
     empty table gives an empty one; other columns are ignored. Without target documents all
-    ratios follow from smoothing alone. Counts cover all documents.
+    log weights are 0. Counts cover all documents.
     """
     rows = log_weights(docs, target_ids, id_col, text_col)
     rows = saved(rows.withColumn("key", F.col("log_weight") + gumbel(F.col("id"), seed)), "weights")

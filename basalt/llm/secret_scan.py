@@ -97,13 +97,30 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     def run(batches):
         novelty = Novelty()
         for batch in batches:
-            column = pc.fill_null(batch.column(1), "")
-            rows: list[list] = [[] for _ in range(len(column))]
-            for i in pc.indices_nonzero(pc.match_substring_regex(column, WORTH_A_LOOK)).to_pylist():
-                text = column[i].as_py()
-                base = base_spans(text)
-                every = sorted(base + novel_spans(text, base, novelty))
-                rows[i] = [{"kind": KINDS[k], "start": a, "end": b} for a, k, b in every]
+            rows = [[{"kind": KINDS[k], "start": a, "end": b} for a, k, b in spans] for spans in found(batch.column(1), novelty)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, span)], names=[id_col, "spans"])
 
     return source.mapInArrow(run, f"`{id_col}` {kind}, spans array<struct<kind:string,start:long,end:long>>")
+
+
+def found(texts: pa.Array, novelty: Novelty) -> list[list[tuple[int, int, int]]]:
+    """start, number of the kind, end of each span of each text."""
+    rows: list[list] = [[] for _ in range(len(texts))]
+    for i in pc.indices_nonzero(pc.fill_null(pc.match_substring_regex(texts, WORTH_A_LOOK), False)).to_pylist():
+        text = texts[i].as_py()
+        base = base_spans(text)
+        rows[i] = sorted(base + novel_spans(text, base, novelty))
+    return rows
+
+
+def without_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, in whose text scan() finds nothing. Null and empty texts stay."""
+    ship(docs.sparkSession)
+    at = docs.columns.index(text_col)
+
+    def keep(batches):
+        novelty = Novelty()
+        for batch in batches:
+            yield batch.filter(pa.array([not spans for spans in found(batch.column(at), novelty)], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
