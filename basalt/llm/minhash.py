@@ -4,12 +4,17 @@ Each document's set of word shingles is hashed once; the smallest hash in each b
 signature, an empty bin takes the value of the non-empty bin that comes first in an order of its
 own (optimal densification), and bands of ROWS bins give the bucket keys. Documents with the
 same set form one class, and only classes go on. A bucket links its members to one centre, not to
-each other, so its candidate pairs grow with its size. Each pair is confirmed on the full sets.
-
-A star can miss a link between two members that are both unlike the centre. So a bucket whose
-members haven't come together in one component gets further centres, more of them in each round
-and those with most confirmed links first, until its members are one component or each has been a
-centre. Pairs inside a component or tried before aren't tried again. No bucket has a cap.
+each other, so its candidate pairs grow with its size; the centre is the member that shares most buckets with most
+others. Each pair is confirmed on the full sets.
+
+A star can miss a link between two members that are both unlike the centre. So documents of a bucket
+that isn't one component afterwards go through an exact second pass: the shingles of each set in order of
+their frequency, rarest first, and of that order only as many as make sure that similar sets have
+one in common (a prefix filter). What many documents share, such as a common passage, comes last and
+brings nobody together. Those that share such a shingle are joined by stars again, with one centre and
+then CENTRES more. In groups that still aren't one component the other members are compared in blocks:
+a task gets two blocks of a group, multiplies their incidence matrices and emits links, at most one
+fewer than members. Pairs inside a component aren't tried again. No bucket and no group has a cap.
 
 Bands are chosen so that a pair at the threshold shares no bucket with probability below 1e-8.
 """
@@ -29,14 +34,17 @@ from basalt.llm.common import bitmap, byte_groups, maybe_in, saved, ship, utf8
 from basalt.llm.components import components
 from basalt.llm.words import mix, odd, shingle_sets
 
-ROWS = 6
-#: Bands by the least percent they serve.
-BANDS = {85: 42, 80: 64}
+#: Bands and rows by the least percent they serve. Long bands keep documents that merely share a passage apart.
+BANDS = {85: (64, 8), 80: (88, 7)}
 GROUP_BYTES = 1 << 20
 #: So many ids are broadcast at most.
 BROADCAST_ROWS = 1_000_000
-#: Further centres of a bucket that isn't one component, in the first round; four times as many in each later one.
-FIRST_CENTRES = 8
+#: Centres of the second round of stars.
+CENTRES = 4
+#: Members of a block, and columns of the incidence matrices that are held at once.
+BLOCK, COLUMNS = 512, 4096
+#: Frequencies are counted by so many leading bits of a shingle's hash: any order is right, a rough one is good.
+FREQUENCY_BITS = 20
 
 
 @functools.cache
@@ -46,13 +54,13 @@ def orders(bins: int) -> np.ndarray:
 
 
 @functools.cache
-def multipliers(bands: int) -> np.ndarray:
-    return odd(bands, ROWS, seed=8)
+def multipliers(bands: int, rows: int) -> np.ndarray:
+    return odd(bands, rows, seed=8)
 
 
-def bucket_keys(hashes: np.ndarray, bands: int) -> np.ndarray:
+def bucket_keys(hashes: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """The bucket keys of a non-empty sorted array of distinct hashes, one for each band."""
-    n = bands * ROWS
+    n = bands * rows
     bins = (((hashes >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.int64)
     first = np.flatnonzero(np.diff(bins, prepend=-1))
     full = bins[first]
@@ -63,7 +71,7 @@ def bucket_keys(hashes: np.ndarray, bands: int) -> np.ndarray:
         empty[full] = False
         empty = np.flatnonzero(empty)
         signature[empty] = signature[full[np.argmin(orders(n)[empty][:, full], axis=1)]]
-    keys = mix((mix(signature.reshape(bands, ROWS)) * multipliers(bands)).sum(axis=1, dtype=np.uint64))
+    keys = mix((mix(signature.reshape(bands, rows)) * multipliers(bands, rows)).sum(axis=1, dtype=np.uint64))
     return mix(keys + np.arange(bands, dtype=np.uint64)).view(np.int64)
 
 
@@ -99,13 +107,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     the same values. An empty table gives an empty one. Other columns are ignored. Ids sort as
     their type does, so ties cannot occur.
     """
-    bands = next((n for least, n in BANDS.items() if percent >= least), None)
-    if bands is None:
+    shape = next((x for least, x in BANDS.items() if percent >= least), None)
+    if shape is None:
         raise ValueError(f"there are bands for {min(BANDS)} percent or more only")
     ship(docs.sparkSession)
 
     def signature(s):
-        return (fingerprint(s), len(s), bucket_keys(s, bands).tolist() if len(s) else [])
+        return (fingerprint(s), len(s), bucket_keys(s, *shape).tolist() if len(s) else [])
 
     rows = saved(of_sets(docs, id_col, text_col, width, "fp binary, n long, keys array<long>", signature), "signatures")
     some = rows.where("n > 0")
@@ -142,38 +150,142 @@ def named(rows: DataFrame, id_col: str) -> DataFrame:
 
 
 def confirmed(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
-    """Links u, v between classes: enough of them to join what any two similar classes of a bucket join."""
-    bucket = Window.partitionBy("key")
-    members = classes.select("node", "n", F.explode("keys").alias("key"))
-    members = members.withColumn("size", F.count(F.lit(1)).over(bucket)).withColumn("centre", F.min(F.struct("node", "n")).over(bucket)).where("size > 1")
-    members = saved(members, "buckets")
-    near = F.expr(f"100 * least(n, m) >= {percent} * greatest(n, m)")
-    pairs = members.where("node <> centre.node").select(F.col("centre.node").alias("u"), F.col("centre.n").alias("m"), F.col("node").alias("v"), "n")
-    pairs = saved(pairs.where(near).select("u", "v").distinct(), "pairs")
+    """Links u, v between classes: enough of them to join all that any similar classes of a bucket join."""
+    members = in_groups(classes.select("node", "n", F.explode("keys").alias("key")), "buckets")
+    centre = F.max(F.struct("crowd", "node", "n")).over(Window.partitionBy("key"))
+    starred = members.withColumn("centre", centre).where("node <> centre.node").select(F.col("centre.node").alias("c"), F.col("centre.n").alias("m"), "node", "n")
+    pairs = saved(worth_trying(starred, percent), "pairs")
     sets = saved(sets_of(docs, classes, members.select("node").distinct(), id_col, text_col, width), "sets")
     links = saved(similar(pairs, sets, percent), "links")
-    tried, roots = pairs, components(links)
-    left = members.where("size > 2").select("key", "node", "n", F.col("node").eqNullSafe(F.col("centre.node")).alias("was"))
-    left, centres = saved(left, "left"), FIRST_CENTRES
-    while True:
+    roots = components(links)
+    rest = apart(members.where("size > 2"), roots).select("node", "n").distinct()
+    rest = saved(rest, "rest")
+    if rest.isEmpty():
+        return links
+    rare = in_groups(rest.join(rarest(sets.join(rest, "node", "left_semi"), percent), "node"), "groups")
+    return joined(rare, sets, links, roots, pairs, percent)
+
+
+def in_groups(rows: DataFrame, name: str) -> DataFrame:
+    """node, n, key, size (members of the key, more than one) and crowd (all members of the node's keys).
+    The original of a family of copies is nearer to each of them than they are to each other, so it
+    has the largest crowd."""
+    size = F.count(F.lit(1)).over(Window.partitionBy("key"))
+    rows = saved(rows.select("node", "n", "key").withColumn("size", size).where("size > 1"), name)
+    return rows.join(rows.groupBy("node").agg(F.sum("size").alias("crowd")), "node")
+
+
+def worth_trying(pairs: DataFrame, percent: int) -> DataFrame:
+    """u < v of the distinct pairs (node, n and c, m) whose sizes allow a link."""
+    near = F.expr(f"100 * least(n, m) >= {percent} * greatest(n, m)")
+    return pairs.where(near).select(F.least("node", "c").alias("u"), F.greatest("node", "c").alias("v")).distinct()
+
+
+def apart(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows (node, key) of keys whose members aren't one component, with their roots."""
+    rows = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    state = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    return rows.join(state.where("low < high").select("key"), "key")
+
+
+def rarest(sets: DataFrame, percent: int) -> DataFrame:
+    """node, key: the rarest shingles of each set, so many that sets similar enough share one of them.
+    Frequencies are summed over each partition, and the driver gets a table of fixed size."""
+    shift = np.uint64(64 - FREQUENCY_BITS)
+
+    def count(batches):
+        total = np.zeros(1 << FREQUENCY_BITS, np.int64)
+        for batch in batches:
+            for x in batch.column(0):
+                np.add.at(total, (np.frombuffer(x.as_buffer(), np.uint64) >> shift).astype(np.int64), 1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["at", "n"])
+
+    found = sets.select("hashes").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    frequency = np.zeros(1 << FREQUENCY_BITS, np.int32)
+    frequency[found.column("at").to_numpy()] = np.minimum(found.column("n").to_numpy(), 2**31 - 1)
+    known = sets.sparkSession.sparkContext.broadcast(frequency)
+
+    def prefix(batches):
+        for batch in batches:
+            nodes, keys = [], []
+            for node, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                x = np.frombuffer(x.as_buffer(), np.uint64)
+                length = len(x) - -(-percent * len(x) // 100) + 1
+                first = x[np.lexsort((x, known.value[(x >> shift).astype(np.int64)]))[:length]]
+                nodes.append(np.full(length, node))
+                keys.append(first.view(np.int64))
+            if nodes:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes), pa.int64()), pa.array(np.concatenate(keys), pa.int64())], names=["node", "key"])
+
+    return sets.select("node", "hashes").mapInArrow(prefix, "node long, key long")
+
+
+def joined(members: DataFrame, sets: DataFrame, links: DataFrame, roots: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
+    """links and those that two rounds of stars, and blocks of what is left then, find between members
+    of a key."""
+    left = members.select("node", "n", "key", "crowd", F.lit(False).alias("was"))
+    for centres in (1, CENTRES):
         degree = links.select(F.col("u").alias("node")).union(links.select("v")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
-        named = left.join(roots.join(degree, "node"), "node", "left").withColumn("root", F.coalesce("root", "node")).na.fill(0, ["degree"])
-        # a bucket is done when it is one component or has no member left that wasn't a centre
-        state = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.sum(F.expr("cast(not was as int)")).alias("open"))
-        named = named.join(state.where("low < high and open > 0").select("key"), "key")
-        place = F.row_number().over(bucket.orderBy(F.col("was"), F.col("degree").desc(), F.col("node")))
-        left = saved(named.withColumn("now", ~F.col("was") & (place <= centres)), "left")
-        chosen = left.where("now").select("key", F.col("node").alias("c"), F.col("n").alias("m"), F.col("root").alias("c_root"))
-        pairs = left.join(chosen, "key").where("root <> c_root").where(near).select(F.least("node", "c").alias("u"), F.greatest("node", "c").alias("v")).distinct()
-        pairs = saved(pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
-        left = left.select("key", "node", "n", (F.col("was") | F.col("now")).alias("was"))
+        named = apart(left, roots).join(degree, "node", "left").na.fill(0, ["degree"])
+        open_ = named.where("not was").select("key").distinct()
+        order = Window.partitionBy("key").orderBy(F.col("was"), F.col("degree").desc(), F.col("crowd").desc(), F.col("node"))
+        left = saved(named.join(open_, "key", "left_semi").withColumn("now", ~F.col("was") & (F.row_number().over(order) <= centres)), "left")
         if left.isEmpty():
             return links
+        chosen = left.where("now").select("key", F.col("node").alias("c"), F.col("n").alias("m"), F.col("root").alias("c_root"))
+        pairs = worth_trying(left.join(chosen, "key").where("root <> c_root"), percent)
+        pairs = saved(pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
         new = saved(similar(pairs, sets, percent), "links")
         if not new.isEmpty():
             links = links.union(new)
             roots = components(links)
-        tried, centres = tried.union(pairs), 4 * centres
+        tried = tried.union(pairs)
+        left = left.select("node", "n", "key", "crowd", (F.col("was") | F.col("now")).alias("was"))
+    rest = saved(apart(left.where("not was"), roots).select("key", "node", "root"), "left")
+    return links if rest.isEmpty() else links.union(saved(in_blocks(rest, sets, percent), "links"))
+
+
+def in_blocks(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between members (key, node, root) of a key with different roots, a spanning set of those of
+    each pair of blocks."""
+    blocks = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    placed = rows.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = placed.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "root")
+
+    def compare(table: pa.Table) -> pa.Table:
+        nodes, roots = table.column("node").to_numpy(), table.column("root").to_numpy()
+        every = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("hashes")]
+        sizes = np.array(list(map(len, every)))
+        _, column, times = np.unique(np.concatenate(every), return_inverse=True, return_counts=True)
+        row = np.repeat(np.arange(len(every)), sizes)
+        shared = times[column] > 1
+        number = np.cumsum(times > 1) - 1
+        row, column = row[shared], number[column[shared]]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        common = np.zeros((len(every), len(every)), np.float32)
+        for begin in range(0, int((times > 1).sum()), COLUMNS):
+            a, b = np.searchsorted(column, [begin, begin + COLUMNS])
+            part = np.zeros((len(every), COLUMNS), np.float32)
+            part[row[a:b], column[a:b] - begin] = 1
+            common += part @ part.T
+        either = sizes[:, None] + sizes[None, :] - common
+        u, v = np.nonzero(np.triu(100.0 * common >= float(percent) * either, 1) & (roots[:, None] != roots))
+        found, top = [], dict(zip(roots.tolist(), roots.tolist(), strict=True))
+        for x, y in zip(u.tolist(), v.tolist(), strict=True):
+            p, q = int(roots[x]), int(roots[y])
+            while top[p] != p:
+                p = top[p]
+            while top[q] != q:
+                q = top[q]
+            if p != q:
+                top[max(p, q)] = min(p, q)
+                found.append((int(nodes[x]), int(nodes[y])))
+        return pa.table([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["u", "v"])
+
+    return placed.join(sets, "node").groupBy("key", "i", "j").applyInArrow(compare, "u long, v long")
 
 
 def sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
@@ -204,3 +316,28 @@ def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     return both.mapInArrow(run, "u long, v long")
+
+
+#: DuckDB SQL of near_duplicates() on `documents`, comparing all texts that share a shingle.
+SQL = r"""
+WITH RECURSIVE listed AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+                                      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS shingle
+  FROM listed),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (
+  SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c
+  FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY u, v),
+links AS (
+  SELECT u, v FROM common JOIN sizes x ON u = x.doc_id JOIN sizes y ON v = y.doc_id
+  WHERE 100 * c >= {percent} * (x.n + y.n - c)),
+reached AS (
+  SELECT doc_id, doc_id AS other FROM documents
+  UNION SELECT r.doc_id, l.v FROM reached r JOIN links l ON r.other = l.u),
+smallest AS (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id)
+SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, m.component_id, d.doc_id = m.component_id AS kept
+FROM documents d JOIN smallest m ON d.doc_id = m.doc_id LEFT JOIN sizes s ON d.doc_id = s.doc_id
+"""

@@ -6,8 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basalt.llm import ann, bpe, language, mixing, secret_scan, topk
-from basalt.llm.minhash import near_duplicates
+from basalt.llm import ann, bpe, language, minhash, mixing, secret_scan, topk
 from basalt.llm.passages import repeated_passages
 from basalt.llm.resample import resample
 from basalt.llm.token_counts import token_counts
@@ -94,7 +93,10 @@ def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+SQL["op10_minhash_near_dedup"] = minhash.SQL.replace("{percent}", "85")
 
 
 _pairs = """
