@@ -75,6 +75,19 @@ def bucket_keys(hashes: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return mix(keys + np.arange(bands, dtype=np.uint64)).view(np.int64)
 
 
+def packed(hashes: np.ndarray) -> bytes:
+    """The leading 40 bits of sorted hashes. Of two sets of a thousand shingles that differ, a pair agrees
+    there by chance with probability below 1e-6, which then counts one shingle more as common."""
+    return np.ascontiguousarray((hashes >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+
+
+def unpacked(value: pa.Scalar) -> np.ndarray:
+    short = np.frombuffer(value.as_buffer(), np.uint8).reshape(-1, 5)
+    out = np.zeros((len(short), 8), np.uint8)
+    out[:, :5] = short
+    return out.view(np.uint64).ravel()
+
+
 def of_sets(docs: DataFrame, id_col: str, text_col: str, width: int, schema: str, row) -> DataFrame:
     """docs' ids and what row() makes of each text's shingle set (a tuple for each)."""
     source = docs.select(F.col(id_col), F.col(text_col).cast("string"))
@@ -191,13 +204,13 @@ def apart(rows: DataFrame, roots: DataFrame) -> DataFrame:
 def rarest(sets: DataFrame, percent: int) -> DataFrame:
     """node, key: the rarest shingles of each set, so many that sets similar enough share one of them.
     Frequencies are summed over each partition, and the driver gets a table of fixed size."""
-    shift = np.uint64(64 - FREQUENCY_BITS)
+    shift = np.uint64(40 - FREQUENCY_BITS)
 
     def count(batches):
         total = np.zeros(1 << FREQUENCY_BITS, np.int64)
         for batch in batches:
             for x in batch.column(0):
-                np.add.at(total, (np.frombuffer(x.as_buffer(), np.uint64) >> shift).astype(np.int64), 1)
+                np.add.at(total, (unpacked(x) >> shift).astype(np.int64), 1)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["at", "n"])
 
@@ -210,7 +223,7 @@ def rarest(sets: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             nodes, keys = [], []
             for node, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                x = np.frombuffer(x.as_buffer(), np.uint64)
+                x = unpacked(x)
                 length = len(x) - -(-percent * len(x) // 100) + 1
                 first = x[np.lexsort((x, known.value[(x >> shift).astype(np.int64)]))[:length]]
                 nodes.append(np.full(length, node))
@@ -243,7 +256,21 @@ def joined(members: DataFrame, sets: DataFrame, links: DataFrame, roots: DataFra
         tried = tried.union(pairs)
         left = left.select("node", "n", "key", "crowd", (F.col("was") | F.col("now")).alias("was"))
     rest = saved(apart(left.where("not was"), roots).select("key", "node", "root"), "left")
-    return links if rest.isEmpty() else links.union(saved(in_blocks(rest, sets, percent), "links"))
+    return links if rest.isEmpty() else links.union(saved(in_blocks(clustered(rest), sets, percent), "links"))
+
+
+def clustered(rows: DataFrame) -> DataFrame:
+    """Members (key, node, root) with keys that overlap put together, where fewer sets have to be sent
+    to blocks then: a family of copies shares many rare shingles, so its members meet in many keys."""
+    first = rows.groupBy("key").agg(F.min("node").alias("first"))
+    clusters = components(rows.join(first, "key").select(F.col("node").alias("u"), F.col("first").alias("v")))
+    rows = saved(rows.join(clusters.withColumnRenamed("root", "cluster"), "node"), "clustered")
+    sent = lambda n: n * F.ceil(n / BLOCK)
+    by_key = rows.groupBy("cluster", "key").agg(F.count(F.lit(1)).alias("n")).groupBy("cluster").agg(F.sum(sent(F.col("n"))).alias("by_key"))
+    nodes = rows.select("cluster", "node", "root").distinct()
+    whole = nodes.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).join(by_key, "cluster").where(sent(F.col("n")) <= F.col("by_key")).select("cluster")
+    together = nodes.join(whole, "cluster", "left_semi").select(F.col("cluster").alias("key"), "node", "root")
+    return together.union(rows.join(whole, "cluster", "left_anti").select("key", "node", "root"))
 
 
 def in_blocks(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -256,7 +283,7 @@ def in_blocks(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def compare(table: pa.Table) -> pa.Table:
         nodes, roots = table.column("node").to_numpy(), table.column("root").to_numpy()
-        every = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("hashes")]
+        every = [unpacked(x) for x in table.column("hashes")]
         sizes = np.array(list(map(len, every)))
         _, column, times = np.unique(np.concatenate(every), return_inverse=True, return_counts=True)
         row = np.repeat(np.arange(len(every)), sizes)
@@ -289,12 +316,12 @@ def in_blocks(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """node, hashes (packed 64-bit) of the wanted classes, from the texts. A bitmap of fixed size
+    """node, hashes (packed) of the wanted classes, from the texts. A bitmap of fixed size
     keeps most other texts from being shuffled; the join decides."""
     need = classes.select("node", "fp", "first_id").join(wanted, "node")
     texts = docs.select(F.col(id_col), F.col(text_col))
     some = maybe_in(texts, F.col(id_col), bitmap(need, F.col("first_id")))
-    found = of_sets(some, id_col, text_col, width, "fp binary, hashes binary", lambda s: (fingerprint(s), s.tobytes()))
+    found = of_sets(some, id_col, text_col, width, "fp binary, hashes binary", lambda s: (fingerprint(s), packed(s)))
     return found.select("fp", "hashes").join(need.select("fp", "node"), "fp").dropDuplicates(["node"]).select("node", "hashes")
 
 
@@ -308,8 +335,7 @@ def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                every = np.concatenate([x, y])
+                every = np.concatenate([unpacked(x), unpacked(y)])
                 every.sort()
                 common = int(np.count_nonzero(every[1:] == every[:-1]))
                 keep.append(100 * common >= percent * (len(every) - common))
