@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 from basalt.llm.common import saved, ship, utf8, utf8_offsets
 from basalt.llm.pretokens import pretokens
 
-CHUNK_BYTES = 8 << 20
-SLICE_TOKENS = 1 << 20
-CACHE_WORDS = 200_000  # in each of two generations
+CHUNK_BYTES = 4 << 20
+SLICE_TOKENS = 1 << 18
+CACHE_WORDS = 100_000  # in each of two generations
 
 
 @functools.cache
