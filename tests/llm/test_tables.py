@@ -12,7 +12,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from basalt.llm import ann, blocks, bpe, components as comps, language, minhash, mixing, passages, registry, resample, topk
+from basalt.llm import ann, blocks, bpe, components as comps, language, minhash, mixing, passages, registry, resample, topk, words
 from tests.llm.helpers import LOWER, WORD, components, families, frame, odd_rows, prose, rng
 from tests.llm.test_text import RANKS, plain_base, spoken
 
@@ -250,6 +250,31 @@ def test_passages(spark):
     assert passages.repeated_passages(frame(spark, [])).collect() == []
 
 
+def passage_seeds(text):
+    hashes = words.words(text.encode(), np.array([0, len(text.encode())]))[0]
+    return set(passages.seeds(hashes)[0].tolist())
+
+
+def test_passages_of_one_match(spark):
+    """Two copies whose other seeds an earlier text has too, and copies whose edits leave one shared seed."""
+    r, rows, want = rng(18), [], set()
+    while len(want) < 4:
+        p, i = prose(r, 60, 100_000).split(), 10 * len(want)
+        first, b, c = (" ".join([prose(r, 30, 100_000), " ".join(w), prose(r, 30, 100_000)]) for w in (p[:49], p, p))
+        if len(passage_seeds(b) & passage_seeds(c) - passage_seeds(first)) == 1:
+            rows += [(i, first), (i + 1, b), (i + 2, c)]
+            want |= {i + 1, i + 2}
+    while len(want) < 8:
+        p, i = prose(r, 64, 100_000).split(), 10 * len(want)
+        q = [f"edit{i}x{j}" if j % 8 == 3 and j not in (27, 35) else w for j, w in enumerate(p)]
+        b, c = (" ".join([prose(r, 30, 100_000), " ".join(w), prose(r, 30, 100_000)]) for w in (p, q))
+        if len(passage_seeds(b) & passage_seeds(c)) == 1:
+            rows += [(i, b), (i + 1, c)]
+            want |= {i, i + 1}
+    got = passages.repeated_passages(frame(spark, rows)).collect()
+    assert {g.doc_id for g in got} == want
+
+
 def best_chain(x, y):
     order = sorted(zip(x, y, strict=True))
     score = []
