@@ -275,6 +275,24 @@ def test_passages_of_one_match(spark):
     assert {g.doc_id for g in got} == want
 
 
+def test_passages_beyond_partial_copies(spark):
+    """Copies all of whose seeds first occur in earlier texts that hold too little of the passage, in one
+    earlier text for each end or in several."""
+    r, rows, want = rng(19), [], set()
+    for i, times in enumerate([1, 1, 1, 4]):
+        while True:
+            p = prose(r, 80, 100_000).split()
+            texts = [" ".join([prose(r, 30, 100_000), " ".join(w), prose(r, 30, 100_000)]) for w in [p[:48], p[-48:]] * times + [p, p]]
+            b, c = map(passage_seeds, texts[-2:])
+            if b & c and not b & c - set().union(*map(passage_seeds, texts[:-2])):
+                break
+        rows += [(100 * i + j, t) for j, t in enumerate(texts)]
+        want |= {100 * i + len(texts) - 2, 100 * i + len(texts) - 1}
+    got = passages.repeated_passages(frame(spark, rows)).collect()
+    assert {g.doc_id for g in got} == want
+    assert all((g.start_word, g.end_word, g.matched) == (30, 110, 80) for g in got)
+
+
 def best_chain(x, y):
     order = sorted(zip(x, y, strict=True))
     score = []
