@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
+import re
 import tempfile
+import threading
 import uuid
 import zipfile
 from collections.abc import Iterator
@@ -13,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of a row group of intermediate tables, and of the tables that are broadcast at most.
+ROW_GROUP, BROADCAST_BYTES = 16 << 20, 32 << 20
 PACKAGE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
@@ -34,32 +39,71 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset
-    (tests on one machine), a folder of our own that is then set there."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = getattr(spark.sparkContext, "_basalt_shared", None)
+    """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset on
+    one machine (as in tests), a folder of our own. A cluster without the setting is refused, since
+    its executors would write to disks of their own."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark.sparkContext, "_basalt_shared", None)
     if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="basalt-shared")
         spark.sparkContext._basalt_shared = path
     return path.rstrip("/")
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
+_open = threading.local()
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Tables that saved() writes inside are deleted when the block ends, but for those to keep, which
+    then belong to the block around it, if there is one."""
+    outer = getattr(_open, "tables", None)
+    _open.tables = own = []
+    try:
+        yield
+    finally:
+        _open.tables = outer
+        for path, keep in own:
+            if not keep:
+                delete(spark, path)
+            elif outer is not None:
+                outer.append((path, False))
+
+
+def saved(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends there, so a lost
-    executor costs no recomputation of what came before."""
+    executor costs no recomputation of what came before. Row groups are small and hashes aren't
+    looked up in dictionaries, so that writers need little memory."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/basalt/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if getattr(_open, "tables", None) is not None:
+        _open.tables.append((path, keep))
+    df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).option("parquet.enable.dictionary", "false").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._basalt_path = path
+    return out
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def drop_saved(spark: SparkSession, df: DataFrame) -> None:
+def drop_saved(df: DataFrame) -> None:
     """Delete a table that saved() wrote, once nothing reads it any more."""
-    jvm = spark.sparkContext._jvm
-    for f in df.inputFiles()[:1]:
-        p = jvm.org.apache.hadoop.fs.Path(f).getParent()
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    delete(df.sparkSession, df._basalt_path)
+
+
+def small(rows: DataFrame) -> DataFrame:
+    """The same rows, marked for broadcast if they are measured to take at most BROADCAST_BYTES: strings
+    and binaries by their bytes, and 24 bytes a value besides."""
+    wide = [F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)) for f in rows.schema.fields if f.dataType.typeName() in ("string", "binary")]
+    size = F.lit(24 * len(rows.columns)).cast("long")
+    for w in wide:
+        size = size + w
+    total = rows.agg(F.sum(size)).first()[0] or 0
+    return F.broadcast(rows) if total <= BROADCAST_BYTES else rows
 
 
 def utf8(column: pa.ChunkedArray | pa.Array) -> tuple[bytes, np.ndarray]:

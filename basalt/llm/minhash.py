@@ -11,10 +11,9 @@ A star can miss a link between two members that are both unlike the centre. So d
 that isn't one component afterwards go through an exact second pass: the shingles of each set in order of
 their frequency, rarest first, and of that order only as many as make sure that similar sets have
 one in common (a prefix filter). What many documents share, such as a common passage, comes last and
-brings nobody together. Those that share such a shingle are joined by stars again, with one centre and
-then CENTRES more. In groups that still aren't one component the other members are compared in blocks:
+brings nobody together. Those that share such a shingle, but not yet a component, are compared in blocks:
 a task gets two blocks of a group, multiplies their incidence matrices and emits links, at most one
-fewer than members. Pairs inside a component aren't tried again. No bucket and no group has a cap.
+fewer than members. No bucket and no group has a cap.
 
 Bands are chosen so that a pair at the threshold shares no bucket with probability below 1e-8.
 """
@@ -27,24 +26,21 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basalt.llm.common import bitmap, byte_groups, maybe_in, saved, ship, utf8
+from basalt.llm.common import bitmap, byte_groups, maybe_in, saved, scratch, ship, small, utf8
 from basalt.llm.components import components
 from basalt.llm.words import mix, odd, shingle_sets
 
 #: Bands and rows by the least percent they serve. Long bands keep documents that merely share a passage apart.
 BANDS = {85: (64, 8), 80: (88, 7)}
 GROUP_BYTES = 1 << 20
-#: So many ids are broadcast at most.
-BROADCAST_ROWS = 1_000_000
-#: Centres of the second round of stars.
-CENTRES = 4
-#: Members of a block, and columns of the incidence matrices that are held at once.
-BLOCK, COLUMNS = 512, 4096
+#: Members of a block and shingles of their sets, and columns of the incidence matrices that are held at once.
+BLOCK, BLOCK_SHINGLES, COLUMNS = 512, 1 << 17, 2048
 #: Frequencies are counted by so many leading bits of a shingle's hash: any order is right, a rough one is good.
 FREQUENCY_BITS = 20
+SHIFT = np.uint64(64 - FREQUENCY_BITS)
 
 
 @functools.cache
@@ -75,40 +71,37 @@ def bucket_keys(hashes: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return mix(keys + np.arange(bands, dtype=np.uint64)).view(np.int64)
 
 
-def packed(hashes: np.ndarray) -> bytes:
-    """The leading 40 bits of sorted hashes. Of two sets of a thousand shingles that differ, a pair agrees
-    there by chance with probability below 1e-6, which then counts one shingle more as common."""
-    return np.ascontiguousarray((hashes >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
-
-
 def unpacked(value: pa.Scalar) -> np.ndarray:
-    short = np.frombuffer(value.as_buffer(), np.uint8).reshape(-1, 5)
-    out = np.zeros((len(short), 8), np.uint8)
-    out[:, :5] = short
-    return out.view(np.uint64).ravel()
+    """The sorted distinct hashes of a set, from their bytes."""
+    return np.frombuffer(value.as_buffer(), np.uint64)
 
 
-def of_sets(docs: DataFrame, id_col: str, text_col: str, width: int, schema: str, row) -> DataFrame:
-    """docs' ids and what row() makes of each text's shingle set (a tuple for each)."""
-    source = docs.select(F.col(id_col), F.col(text_col).cast("string"))
-    kind = source.schema[0].dataType.simpleString()
+def of_sets(docs: DataFrame, text_col: str, width: int, schema: str, row) -> DataFrame:
+    """docs' other columns and what row() makes of each text's shingle set (a tuple for each)."""
+    rest = [c for c in docs.columns if c != text_col]
+    source = docs.select(*rest, F.col(text_col).cast("string"))
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
 
     def run(batches):
         for batch in batches:
-            column = pc.fill_null(batch.column(1), "")
+            column = pc.fill_null(batch.column(len(rest)), "")
             for a, b in byte_groups(column, GROUP_BYTES):
                 rows = [row(s) for s in shingle_sets(*utf8(column.slice(a, b - a)), width)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True))], names=["id", *names])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(len(rest))), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True))], names=[*rest, *names])
 
     names = [x.split()[0] for x in schema.split(", ")]
     types = [{"long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}[x.split()[1]] for x in schema.split(", ")]
-    return source.mapInArrow(run, f"id {kind}, {schema}")
+    return source.mapInArrow(run, f"{kept}, {schema}")
 
 
 def fingerprint(hashes: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(hashes.tobytes())
 
 
+def narrow(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 85) -> DataFrame:
     """One row for each input row: the id, n_shingles (size of its set), component_id (the smallest
     id that links reach, its own included) and kept (id = component_id).
@@ -120,6 +113,47 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     the same values. An empty table gives an empty one. Other columns are ignored. Ids sort as
     their type does, so ties cannot occur.
     """
+    with scratch(docs.sparkSession):
+        rows, named = grouped(narrow(docs, id_col, text_col), width, percent)
+        smallest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
+        found = rows.select("id", "fp", "n").join(named.join(smallest, "root").select("fp", "component_id"), "fp", "left")
+        found = found.select("id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+        found = saved(found.withColumn("kept", F.col("id").eqNullSafe(F.col("component_id"))), "near-duplicates", keep=True)
+    return found.withColumnRenamed("id", id_col)
+
+
+def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one row of each component of near_duplicates(), that of the smallest id (of rows that share that id,
+    the one whose text has the smallest hash); all columns stay, whatever their names.
+
+    Rows go by id and text, so different texts with one id are told apart; of rows that are equal in both, any one
+    stays, also where the text is null or has no words. Rows without an id stay, unless their component has a row with an
+    id or another text without one. An empty table gives an empty one. What has to go is broadcast
+    where it is measured to be small, so that texts aren't shuffled.
+    """
+    with scratch(docs.sparkSession):
+        rows, named = grouped(narrow(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text")), width, percent)
+        rows = rows.select("id", "text_hash", "fp").join(named.select("fp", "root"), "fp", "left")
+        rows = saved(rows.select(F.col("id").alias("id_"), F.col("text_hash").alias("hash_"), "root"), "copies")
+        stays = rows.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("id_").isNull(), "id_", "hash_")).alias("first"))
+        other = ~(F.col("id_").eqNullSafe(F.col("first.id_")) & (F.col("hash_") == F.col("first.hash_")))
+        removed = saved(rows.join(stays, "root").where(other).select("id_", "hash_").distinct(), "removed", keep=True)
+        repeated = saved(rows.where("id_ is not null").groupBy("id_", "hash_").count().where("count > 1").select("id_", "hash_"), "repeated", keep=True)
+    every = [F.col(f"`{c}`") for c in docs.columns]
+    own = F.col(f"`{id_col}`")
+    marked = docs.select(F.struct(*every).alias("row_"), own.alias("own_"), F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("text_"))
+    same = F.col("own_").eqNullSafe(F.col("id_")) & (F.col("text_") == F.col("hash_"))
+    rest = marked.join(small(removed), same, "left_anti")
+    if repeated.isEmpty():
+        return rest.select("row_.*")
+    repeated = small(repeated)
+    single = rest.join(repeated, same, "left_anti")
+    return single.union(rest.join(repeated, same, "left_semi").dropDuplicates(["own_", "text_"])).select("row_.*")
+
+
+def grouped(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """docs (id, text and others) as rows with fp, the fingerprint of the set, and n, its size, for the text; and, for each
+    class of rows with one fp that isn't alone, fp, node, first_id and the root of its component."""
     shape = next((x for least, x in BANDS.items() if percent >= least), None)
     if shape is None:
         raise ValueError(f"there are bands for {min(BANDS)} percent or more only")
@@ -128,64 +162,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def signature(s):
         return (fingerprint(s), len(s), bucket_keys(s, *shape).tolist() if len(s) else [])
 
-    rows = saved(of_sets(docs, id_col, text_col, width, "fp binary, n long, keys array<long>", signature), "signatures")
-    some = rows.where("n > 0")
+    rows = saved(of_sets(docs, "text", width, "fp binary, n long, keys array<long>", signature), "signatures")
     # keys depend on fp alone, so any row's will do
-    classes = saved(some.groupBy("fp").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys")).withColumn("node", F.monotonically_increasing_id()), "classes")
-    links = confirmed(docs, classes, id_col, text_col, width, percent)
-    roots = components(links)
-    rooted = classes.select("fp", "node", "first_id", "copies").join(roots, "node", "left").where("copies > 1 or root is not null").withColumn("root", F.coalesce("root", "node"))
-    smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = rooted.join(smallest, "root").select("fp", "component_id")
-    out = rows.select("id", "fp", "n").join(named, "fp", "left")
-    out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
-    return out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
-
-
-def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document of each component, the one of the smallest id; all columns stay.
-
-    Of rows that repeat an id any one stays. Rows without an id
-    can't be named and stay. Few ids to remove are broadcast, so that texts aren't shuffled.
-    """
-    found = saved(near_duplicates(docs, id_col, text_col, width, percent).where(F.col(id_col).isNotNull()), "near-duplicates")
-    removed = named(found.where("not kept"), id_col)
-    repeated = named(found.groupBy(id_col).count().where("count > 1"), id_col)
-    rest = docs.join(removed, id_col, "left_anti").select(*docs.columns)
-    single = rest.join(repeated, id_col, "left_anti").select(*docs.columns)
-    return single.union(rest.join(repeated, id_col, "left_semi").select(*docs.columns).dropDuplicates([id_col]))
-
-
-def named(rows: DataFrame, id_col: str) -> DataFrame:
-    """The distinct ids of rows, marked for broadcast if they are at most BROADCAST_ROWS."""
-    ids = saved(rows.select(id_col).distinct(), "ids")
-    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+    some = rows.where("n > 0").groupBy("fp").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    classes = saved(some.withColumn("node", F.monotonically_increasing_id()), "classes")
+    roots = components(confirmed(docs, classes, width, percent))
+    named = classes.select("fp", "node", "first_id", "copies").join(roots, "node", "left").where("copies > 1 or root is not null")
+    return rows, saved(named.withColumn("root", F.coalesce("root", "node")), "named")
 
 
-def confirmed(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
+def confirmed(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
     """Links u, v between classes: enough of them to join all that any similar classes of a bucket join."""
-    members = in_groups(classes.select("node", "n", F.explode("keys").alias("key")), "buckets")
-    centre = F.max(F.struct("crowd", "node", "n")).over(Window.partitionBy("key"))
-    starred = members.withColumn("centre", centre).where("node <> centre.node").select(F.col("centre.node").alias("c"), F.col("centre.n").alias("m"), "node", "n")
+    keys = classes.select("node", "n", F.explode("keys").alias("key"))
+    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    members = saved(keys.join(sizes, "key"), "buckets")
+    # The original of a family of copies is nearer to each of them than they are to each other, so
+    # it meets the largest crowd, and buckets that hold it take it as their centre.
+    crowds = members.groupBy("node").agg(F.sum("size").alias("crowd"))
+    centres = members.join(crowds, "node").groupBy("key").agg(F.max(F.struct("crowd", "node", "n")).alias("centre"))
+    starred = members.join(centres, "key").where("node <> centre.node").select(F.col("centre.node").alias("c"), F.col("centre.n").alias("m"), "node", "n")
     pairs = saved(worth_trying(starred, percent), "pairs")
-    sets = saved(sets_of(docs, classes, members.select("node").distinct(), id_col, text_col, width), "sets")
+    sets = saved(sets_of(docs, classes, members.select("node").distinct(), width), "sets")
     links = saved(similar(pairs, sets, percent), "links")
     roots = components(links)
-    rest = apart(members.where("size > 2"), roots).select("node", "n").distinct()
-    rest = saved(rest, "rest")
+    rooted = members.where("size > 2").select("node", "key").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rest = saved(rooted.join(apart(rooted), "key", "left_semi").select("node", "root").distinct(), "rest")
     if rest.isEmpty():
         return links
-    rare = in_groups(rest.join(rarest(sets.join(rest, "node", "left_semi"), percent), "node"), "groups")
-    return joined(rare, sets, links, roots, pairs, percent)
-
-
-def in_groups(rows: DataFrame, name: str) -> DataFrame:
-    """node, n, key, size (members of the key, more than one) and crowd (all members of the node's keys).
-    The original of a family of copies is nearer to each of them than they are to each other, so it
-    has the largest crowd."""
-    size = F.count(F.lit(1)).over(Window.partitionBy("key"))
-    rows = saved(rows.select("node", "n", "key").withColumn("size", size).where("size > 1"), name)
-    return rows.join(rows.groupBy("node").agg(F.sum("size").alias("crowd")), "node")
+    rare = saved(rarest(sets, rest, percent), "prefixes")
+    groups = saved(rare.join(apart(rare), "key", "left_semi"), "groups")
+    return links if groups.isEmpty() else links.union(saved(in_blocks(clustered(groups), sets, percent), "links"))
 
 
 def worth_trying(pairs: DataFrame, percent: int) -> DataFrame:
@@ -194,89 +200,70 @@ def worth_trying(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.where(near).select(F.least("node", "c").alias("u"), F.greatest("node", "c").alias("v")).distinct()
 
 
-def apart(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    """The rows (node, key) of keys whose members aren't one component, with their roots."""
-    rows = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    state = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    return rows.join(state.where("low < high").select("key"), "key")
+def apart(rows: DataFrame) -> DataFrame:
+    """The keys of rows (key, root) whose members aren't one component."""
+    return rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
 
 
-def rarest(sets: DataFrame, percent: int) -> DataFrame:
-    """node, key: the rarest shingles of each set, so many that sets similar enough share one of them.
-    Frequencies are summed over each partition, and the driver gets a table of fixed size."""
-    shift = np.uint64(40 - FREQUENCY_BITS)
+def rarest(sets: DataFrame, wanted: DataFrame, percent: int) -> DataFrame:
+    """node, root, n, key: the rarest shingles of each wanted set (node, root), so many that sets similar enough
+    share one of them. Frequencies are summed over each partition, and the driver gets a table of fixed size."""
+    own = sets.join(wanted, "node").select("node", "root", "hashes")
 
     def count(batches):
         total = np.zeros(1 << FREQUENCY_BITS, np.int64)
         for batch in batches:
             for x in batch.column(0):
-                np.add.at(total, (unpacked(x) >> shift).astype(np.int64), 1)
+                np.add.at(total, (unpacked(x) >> SHIFT).astype(np.int64), 1)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["at", "n"])
 
-    found = sets.select("hashes").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    found = own.select("hashes").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
     frequency = np.zeros(1 << FREQUENCY_BITS, np.int32)
     frequency[found.column("at").to_numpy()] = np.minimum(found.column("n").to_numpy(), 2**31 - 1)
     known = sets.sparkSession.sparkContext.broadcast(frequency)
 
     def prefix(batches):
         for batch in batches:
-            nodes, keys = [], []
-            for node, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            lengths, keys = [], []
+            for x in batch.column(2):
                 x = unpacked(x)
                 length = len(x) - -(-percent * len(x) // 100) + 1
-                first = x[np.lexsort((x, known.value[(x >> shift).astype(np.int64)]))[:length]]
-                nodes.append(np.full(length, node))
-                keys.append(first.view(np.int64))
-            if nodes:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes), pa.int64()), pa.array(np.concatenate(keys), pa.int64())], names=["node", "key"])
-
-    return sets.select("node", "hashes").mapInArrow(prefix, "node long, key long")
-
-
-def joined(members: DataFrame, sets: DataFrame, links: DataFrame, roots: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
-    """links and those that two rounds of stars, and blocks of what is left then, find between members
-    of a key."""
-    left = members.select("node", "n", "key", "crowd", F.lit(False).alias("was"))
-    for centres in (1, CENTRES):
-        degree = links.select(F.col("u").alias("node")).union(links.select("v")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
-        named = apart(left, roots).join(degree, "node", "left").na.fill(0, ["degree"])
-        open_ = named.where("not was").select("key").distinct()
-        order = Window.partitionBy("key").orderBy(F.col("was"), F.col("degree").desc(), F.col("crowd").desc(), F.col("node"))
-        left = saved(named.join(open_, "key", "left_semi").withColumn("now", ~F.col("was") & (F.row_number().over(order) <= centres)), "left")
-        if left.isEmpty():
-            return links
-        chosen = left.where("now").select("key", F.col("node").alias("c"), F.col("n").alias("m"), F.col("root").alias("c_root"))
-        pairs = worth_trying(left.join(chosen, "key").where("root <> c_root"), percent)
-        pairs = saved(pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
-        new = saved(similar(pairs, sets, percent), "links")
-        if not new.isEmpty():
-            links = links.union(new)
-            roots = components(links)
-        tried = tried.union(pairs)
-        left = left.select("node", "n", "key", "crowd", (F.col("was") | F.col("now")).alias("was"))
-    rest = saved(apart(left.where("not was"), roots).select("key", "node", "root"), "left")
-    return links if rest.isEmpty() else links.union(saved(in_blocks(clustered(rest), sets, percent), "links"))
+                lengths.append((len(x), length))
+                keys.append(x[np.lexsort((x, known.value[(x >> SHIFT).astype(np.int64)]))[:length]].view(np.int64))
+            if lengths:
+                sizes, times = np.array(lengths, np.int64).T
+                ids = [np.repeat(batch.column(i).to_numpy(zero_copy_only=False), times) for i in range(2)]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (*ids, np.repeat(sizes, times), np.concatenate(keys))], names=["node", "root", "n", "key"])
+
+    return own.mapInArrow(prefix, "node long, root long, n long, key long")
+
+
+def parts(members, shingles):
+    """Blocks of a group with so many members whose sets have so many shingles."""
+    return F.greatest(F.ceil(members / BLOCK), F.ceil(shingles / BLOCK_SHINGLES))
 
 
 def clustered(rows: DataFrame) -> DataFrame:
-    """Members (key, node, root) with keys that overlap put together, where fewer sets have to be sent
+    """Members (key, node, root, n) with keys that overlap put together, where fewer sets have to be sent
     to blocks then: a family of copies shares many rare shingles, so its members meet in many keys."""
     first = rows.groupBy("key").agg(F.min("node").alias("first"))
     clusters = components(rows.join(first, "key").select(F.col("node").alias("u"), F.col("first").alias("v")))
     rows = saved(rows.join(clusters.withColumnRenamed("root", "cluster"), "node"), "clustered")
-    sent = lambda n: n * F.ceil(n / BLOCK)
-    by_key = rows.groupBy("cluster", "key").agg(F.count(F.lit(1)).alias("n")).groupBy("cluster").agg(F.sum(sent(F.col("n"))).alias("by_key"))
-    nodes = rows.select("cluster", "node", "root").distinct()
-    whole = nodes.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).join(by_key, "cluster").where(sent(F.col("n")) <= F.col("by_key")).select("cluster")
-    together = nodes.join(whole, "cluster", "left_semi").select(F.col("cluster").alias("key"), "node", "root")
-    return together.union(rows.join(whole, "cluster", "left_anti").select("key", "node", "root"))
+    number, total = F.count(F.lit(1)), F.sum("n")
+    by_key = rows.groupBy("cluster", "key").agg((number * parts(number, total)).alias("sent")).groupBy("cluster").agg(F.sum("sent").alias("by_key"))
+    nodes = rows.select("cluster", "node", "root", "n").distinct()
+    whole = nodes.groupBy("cluster").agg((number * parts(number, total)).alias("whole")).join(by_key, "cluster").where("whole <= by_key").select("cluster")
+    together = nodes.join(whole, "cluster", "left_semi").select(F.col("cluster").alias("key"), "node", "root", "n")
+    return together.union(rows.join(whole, "cluster", "left_anti").select("key", "node", "root", "n"))
 
 
 def in_blocks(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between members (key, node, root) of a key with different roots, a spanning set of those of
-    each pair of blocks."""
-    blocks = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    """Links between members (key, node, root, n) of a key with different roots, a spanning set of those of
+    each pair of blocks. A block holds about BLOCK members and BLOCK_SHINGLES shingles at most, or one
+    larger set."""
+    rows = saved(rows, "members")
+    blocks = rows.groupBy("key").agg(parts(F.count(F.lit(1)), F.sum("n")).cast("int").alias("blocks"))
     placed = rows.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = placed.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "root")
@@ -292,14 +279,14 @@ def in_blocks(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         row, column = row[shared], number[column[shared]]
         order = np.argsort(column, kind="stable")
         row, column = row[order], column[order]
-        common = np.zeros((len(every), len(every)), np.float32)
+        common = np.zeros((len(every), len(every)), np.float32)  # counts are exact up to 2^24
         for begin in range(0, int((times > 1).sum()), COLUMNS):
             a, b = np.searchsorted(column, [begin, begin + COLUMNS])
             part = np.zeros((len(every), COLUMNS), np.float32)
             part[row[a:b], column[a:b] - begin] = 1
             common += part @ part.T
-        either = sizes[:, None] + sizes[None, :] - common
-        u, v = np.nonzero(np.triu(100.0 * common >= float(percent) * either, 1) & (roots[:, None] != roots))
+        either = sizes[:, None] + sizes[None, :] - common.astype(np.float64)
+        u, v = np.nonzero(np.triu(100.0 * common.astype(np.float64) >= float(percent) * either, 1) & (roots[:, None] != roots))
         found, top = [], dict(zip(roots.tolist(), roots.tolist(), strict=True))
         for x, y in zip(u.tolist(), v.tolist(), strict=True):
             p, q = int(roots[x]), int(roots[y])
@@ -315,14 +302,14 @@ def in_blocks(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return placed.join(sets, "node").groupBy("key", "i", "j").applyInArrow(compare, "u long, v long")
 
 
-def sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """node, hashes (packed) of the wanted classes, from the texts. A bitmap of fixed size
-    keeps most other texts from being shuffled; the join decides."""
+def sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """node, hashes (the whole set, 64 bits a shingle) of the wanted classes, from the text of each class's first id.
+    A bitmap of fixed size keeps most other texts from being shuffled; the join decides."""
     need = classes.select("node", "fp", "first_id").join(wanted, "node")
-    texts = docs.select(F.col(id_col), F.col(text_col))
-    some = maybe_in(texts, F.col(id_col), bitmap(need, F.col("first_id")))
-    found = of_sets(some, id_col, text_col, width, "fp binary, hashes binary", lambda s: (fingerprint(s), packed(s)))
-    return found.select("fp", "hashes").join(need.select("fp", "node"), "fp").dropDuplicates(["node"]).select("node", "hashes")
+    some = maybe_in(docs.select("id", "text"), F.col("id"), bitmap(need, F.col("first_id")))
+    found = of_sets(some, "text", width, "fp binary, hashes binary", lambda s: (fingerprint(s), s.tobytes()))
+    # a first id that several equal rows have gives its set once
+    return found.join(need.select(F.col("fp").alias("f"), "first_id", "node"), (F.col("fp") == F.col("f")) & F.col("id").eqNullSafe(F.col("first_id"))).dropDuplicates(["node"]).select("node", "hashes")
 
 
 def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

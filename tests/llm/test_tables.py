@@ -375,3 +375,43 @@ def test_sql_of_near_duplicates(spark, tmp_path):
     want = components(rows, 85)
     got = con.execute(f"SELECT doc_id, n_shingles, component_id, kept FROM ({registry.SQL['op10_minhash_near_dedup']})").fetchall()
     assert sorted(got) == sorted((i, n, c, i == c) for i, (n, c) in want.items())
+
+
+@pytest.mark.parametrize("in_a_task", [0, 5, 40, 1 << 20])
+def test_components_whoever_does_the_work(spark, in_a_task):
+    r = rng(31)
+    edges = [(r.randrange(150), r.randrange(150)) for _ in range(90)] + [(1000, 1000 - k) for k in range(60)] + [(2000 + i, 2001 + i) for i in range(40)]
+    want = {}
+    for u, v in edges:
+        if u != v:
+            a, b = want.get(u, {u}), want.get(v, {v})
+            whole = a | b
+            want |= {x: whole for x in whole}
+    got = comps.components(spark.createDataFrame(edges, "u long, v long").repartition(6), in_a_task).collect()
+    assert sorted(map(tuple, got)) == sorted((x, min(s)) for x, s in want.items())
+
+
+def test_near_duplicates_in_small_blocks(spark, monkeypatch):
+    """Links that stars miss, compared in many blocks; sets that share a passage only stay apart."""
+    r = rng(32)
+    monkeypatch.setattr(minhash, "BLOCK", 3)
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 500)
+    rows = families(r, 6, 14)
+    passage = prose(r, 150)
+    rows += [(5000 + i, f"{passage} {prose(r, r.randrange(1, 40))}", None, None) for i in range(30)]
+    want = components(rows, 85)
+    got = minhash.near_duplicates(frame(spark, rows).repartition(3)).collect()
+    assert {g.doc_id: (g.n_shingles, g.component_id) for g in got} == want
+
+
+def test_without_copies_by_row(spark):
+    """Different texts with one id both stay, equal rows stay once, names of columns don't matter."""
+    r = rng(33)
+    a, b = prose(r, 60), prose(r, 60)
+    rows = [(1, a), (1, b), (2, a + " more"), (2, prose(r, 50)), (3, b), (3, b), (4, None), (4, None), (None, a), (None, "alone here"), (5, ""), (5, "")]
+    docs = spark.createDataFrame([(t, i, "k") for i, t in rows], "`te.xt` string, `an id` long, `root` string").repartition(3)
+    got = minhash.without_copies(docs, "an id", "te.xt")
+    assert got.columns == docs.columns
+    left = sorted(((x[1], x[0]) for x in got.collect()), key=repr)
+    assert left == sorted([(1, a), (1, b), (2, rows[3][1]), (4, None), (None, "alone here"), (5, "")], key=repr)
+    assert minhash.without_copies(frame(spark, [])).collect() == []
