@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basalt.llm.common import saved, ship, utf8, utf8_offsets
+from basalt.llm.common import lean, saved, ship, utf8, utf8_offsets
 from basalt.llm.pretokens import pretokens
 
 CHUNK_BYTES = 4 << 20
@@ -203,9 +203,9 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
         column = pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(out.astype("<u4").tobytes())])
         return pa.table([ids, column], names=[id_col, "ids"])
 
-    words = source.mapInArrow(split, "bucket int, chunk long, words binary").repartition(n, "bucket")
-    answers = words.mapInArrow(encoded, "chunk long, words binary")
-    order = source.mapInArrow(positions, at)
+    words = source.mapInArrow(lean(split), "bucket int, chunk long, words binary").repartition(n, "bucket")
+    answers = words.mapInArrow(lean(encoded), "chunk long, words binary")
+    order = source.mapInArrow(lean(positions), at)
     both = order.unionByName(answers, allowMissingColumns=True)
     return both.groupBy("chunk").applyInArrow(reassemble, f"`{id_col}` {kind}, ids binary")
 
@@ -227,4 +227,4 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "
 
     from pyspark.sql import types as T
 
-    return source.mapInArrow(run, T.StructType([*source.schema.fields, T.StructField(out_col, T.BinaryType())]))
+    return source.mapInArrow(lean(run), T.StructType([*source.schema.fields, T.StructField(out_col, T.BinaryType())]))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import functools
 import os
 import re
 import tempfile
@@ -38,6 +40,34 @@ def ship(spark: SparkSession) -> None:
     sc._basalt_shipped = True
 
 
+@functools.cache
+def _libc():
+    """The C library, with large blocks set to go back to the system as soon as they are freed."""
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+    except (OSError, AttributeError):
+        return None
+    return libc
+
+
+def lean(run):
+    """A function of batches for mapInArrow, after which its worker, which Spark keeps for later tasks, gives
+    freed memory back to the system."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        libc = _libc()
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            yield from run(batches)
+        finally:
+            if libc:
+                libc.malloc_trim(0)
+
+    return wrapped
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset on
     one machine (as in tests), a folder of our own. A cluster without the setting is refused, since

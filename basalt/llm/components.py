@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basalt.llm.common import drop_saved, saved, ship
+from basalt.llm.common import drop_saved, lean, saved, ship
 
 #: Edges that a task holds at a time, and that one task may finish: 16 MB.
 IN_A_TASK = 1 << 20
@@ -75,12 +75,12 @@ def components(edges: DataFrame, in_a_task: int = IN_A_TASK) -> DataFrame:
     """
     ship(edges.sparkSession)
     own = edges.where("u <> v").select(F.greatest("u", "v").cast("long").alias("u"), F.least("u", "v").cast("long").alias("v"))
-    now = saved(own.mapInArrow(forests(in_a_task or IN_A_TASK), "u long, v long"), "edges")
+    now = saved(own.mapInArrow(lean(forests(in_a_task or IN_A_TASK)), "u long, v long"), "edges")
     before = None
     while True:
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state[0] <= in_a_task:
-            after = saved(now.coalesce(1).mapInArrow(forests(in_a_task + 1), "u long, v long"), "edges")
+            after = saved(now.coalesce(1).mapInArrow(lean(forests(in_a_task + 1)), "u long, v long"), "edges")
         elif state == before:
             break
         else:

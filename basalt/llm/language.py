@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basalt.llm.common import byte_groups, ship
+from basalt.llm.common import byte_groups, lean, ship
 from basalt.llm.pretokens import LETTER, classes
 
 BUCKETS = 1 << 14
@@ -65,7 +65,7 @@ def learn(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["at", "n"])
 
-    counts = labelled.where("text is not null").select("text", "lang").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    counts = labelled.where("text is not null").select("text", "lang").mapInArrow(lean(count), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
     table = np.full(len(names) * BUCKETS, SMOOTHING)
     table[counts.column("at").to_numpy()] += counts.column("n").to_numpy()
     table = table.reshape(len(names), BUCKETS)
@@ -118,7 +118,7 @@ def identify(docs: DataFrame, learn_from: Column, id_col: str = "doc_id", text_c
             pred, score, n = verdicts(batch.column(1), names, model)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(n, pa.int32())], names=[id_col, "lang_pred", "score", "n_langs"])
 
-    return source.mapInArrow(predict, f"`{id_col}` {kind}, lang_pred string, score double, n_langs int")
+    return source.mapInArrow(lean(predict), f"`{id_col}` {kind}, lang_pred string, score double, n_langs int")
 
 
 def verdicts(texts: pa.Array, names: list[str], model: np.ndarray) -> tuple[list, list, list]:
@@ -148,7 +148,7 @@ def identified(docs: DataFrame, learn_from: Column, least_score: float = 0.5, te
             pred, score, _ = verdicts(batch.column(at), names, model)
             yield batch.filter(pa.array([p != "und" and s >= least_score for p, s in zip(pred, score, strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(lean(keep), docs.schema)
 
 
 def held_out(id_: Column) -> Column:

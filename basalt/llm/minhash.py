@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basalt.llm.common import bitmap, byte_groups, maybe_in, saved, scratch, ship, small, utf8
+from basalt.llm.common import bitmap, byte_groups, lean, maybe_in, saved, scratch, ship, small, utf8
 from basalt.llm.components import components
 from basalt.llm.words import mix, odd, shingle_sets
 
@@ -91,7 +91,7 @@ def of_sets(docs: DataFrame, text_col: str, width: int, schema: str, row) -> Dat
 
     names = [x.split()[0] for x in schema.split(", ")]
     types = [{"long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}[x.split()[1]] for x in schema.split(", ")]
-    return source.mapInArrow(run, f"{kept}, {schema}")
+    return source.mapInArrow(lean(run), f"{kept}, {schema}")
 
 
 def fingerprint(hashes: np.ndarray) -> bytes:
@@ -218,7 +218,7 @@ def rarest(sets: DataFrame, wanted: DataFrame, percent: int) -> DataFrame:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["at", "n"])
 
-    found = own.select("hashes").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    found = own.select("hashes").mapInArrow(lean(count), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
     frequency = np.zeros(1 << FREQUENCY_BITS, np.int32)
     frequency[found.column("at").to_numpy()] = np.minimum(found.column("n").to_numpy(), 2**31 - 1)
     known = sets.sparkSession.sparkContext.broadcast(frequency)
@@ -236,7 +236,7 @@ def rarest(sets: DataFrame, wanted: DataFrame, percent: int) -> DataFrame:
                 ids = [np.repeat(batch.column(i).to_numpy(zero_copy_only=False), times) for i in range(2)]
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (*ids, np.repeat(sizes, times), np.concatenate(keys))], names=["node", "root", "n", "key"])
 
-    return own.mapInArrow(prefix, "node long, root long, n long, key long")
+    return own.mapInArrow(lean(prefix), "node long, root long, n long, key long")
 
 
 def parts(members, shingles):
@@ -328,7 +328,7 @@ def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * common >= percent * (len(every) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(run, "u long, v long")
+    return both.mapInArrow(lean(run), "u long, v long")
 
 
 #: DuckDB SQL of near_duplicates() on `documents`, comparing all texts that share a shingle.

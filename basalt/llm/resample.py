@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basalt.llm.common import byte_groups, saved, ship, utf8
+from basalt.llm.common import byte_groups, lean, saved, ship, utf8
 from basalt.llm.pretokens import pretokens
 from basalt.llm.words import mix, odd
 
@@ -57,7 +57,7 @@ def counts(texts: DataFrame) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["at", "n"])
 
-    found = texts.where("text is not null").select("text").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    found = texts.where("text is not null").select("text").mapInArrow(lean(run), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(BUCKETS)
     out[found.column("at").to_numpy()] = found.column("n").to_numpy()
     return out
@@ -84,7 +84,7 @@ def log_weights(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id",
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.bincount(row, ratio[buckets], b - a)), pa.array(np.bincount(row, minlength=b - a), pa.int64())], names=["id", "log_weight", "n_ngrams"])
 
     kind = texts.schema[0].dataType.simpleString()
-    return texts.mapInArrow(weigh, f"id {kind}, log_weight double, n_ngrams long")
+    return texts.mapInArrow(lean(weigh), f"id {kind}, log_weight double, n_ngrams long")
 
 
 def gumbel(id_, seed: int = 0):

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basalt.llm.common import byte_groups, ship, slices, utf8
+from basalt.llm.common import byte_groups, lean, ship, slices, utf8
 from basalt.llm.pretokens import starts
 
 GROUP_BYTES = 1 << 20
@@ -150,4 +150,4 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512, id_col: str = "do
 
     source = docs.select(F.col(id_col), F.col(text_col).cast("string"))
     kind = source.schema[0].dataType.simpleString()
-    return source.mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return source.mapInArrow(lean(run), f"`{id_col}` {kind}, n_bytes long, n_tokens long, over_limit boolean")
