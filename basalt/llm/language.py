@@ -20,10 +20,10 @@ from basalt.llm.pretokens import LETTER, classes
 
 BUCKETS = 1 << 14
 GROUP_BYTES = 1 << 20
-#: At most so many languages are learned, those of most documents; with BUCKETS it bounds the model.
-MAX_LANGUAGES = 256
 SMOOTHING = 0.5
 ROUNDS = 12
+#: Languages whose counts a task holds at a time while it learns.
+HELD = 256
 PENALTY = 4.0  # times log(1 + trigrams), for each language after the first
 
 
@@ -43,33 +43,60 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return (h >> np.uint32(18)).astype(np.int64), np.searchsorted(middle, np.concatenate([[1], ends]))
 
 
-def learn(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Languages and their distributions, from rows text, lang (not null). Counts are summed over each
-    partition before they are shuffled; the driver gets MAX_LANGUAGES x BUCKETS numbers at most."""
-    names = [r[0] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()]
-    names.sort()
-    if not names:
-        return [], np.zeros((0, BUCKETS))
-    number = {name: i for i, name in enumerate(names)}
+class Model:
+    """What is learned of each language: how often trigrams of each bucket occur in it. Counts are kept
+    by bucket and only where they aren't 0, so a language takes at most 12 bytes a bucket it has; none is left out."""
+
+    def __init__(self, names: list[str], lang: np.ndarray, bucket: np.ndarray, n: np.ndarray):
+        self.names = names
+        order = np.argsort(bucket, kind="stable")
+        self.lang, self.n = lang[order].astype(np.int32), n[order].astype(np.float64)
+        self.begin = np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
+        self.total = np.bincount(lang, n, len(names)) + SMOOTHING * BUCKETS
+
+    def rows(self, at: np.ndarray) -> np.ndarray:
+        """The probability of each bucket of `at` in each language."""
+        lengths = self.begin[at + 1] - self.begin[at]
+        ends = np.cumsum(lengths)
+        where = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.begin[at] - (ends - lengths), lengths)
+        out = np.full((len(self.names), len(at)), SMOOTHING)
+        out[self.lang[where], np.repeat(np.arange(len(at)), lengths)] += self.n[where]
+        return out / self.total[:, None]
+
+
+def learn(labelled: DataFrame) -> Model:
+    """The model of all languages of rows text, lang (not null) that have a letter in a text. Counts are summed over each
+    partition before they are shuffled; the driver gets at most BUCKETS numbers a language."""
 
     def count(batches):
-        total = np.zeros(len(names) * BUCKETS, np.int64)
+        held: dict[str, np.ndarray] = {}
         for batch in batches:
             for a, b in byte_groups(batch.column(0), GROUP_BYTES):
-                lang = [number.get(x, -1) for x in batch.column(1).slice(a, b - a).to_pylist()]
-                some = [i for i, x in enumerate(lang) if x >= 0]
-                if some:
-                    texts = batch.column(0).slice(a, b - a).take(pa.array(some)).to_pylist()
-                    buckets, bounds = trigrams(texts)
-                    total += np.bincount(buckets + np.repeat(np.array(lang)[some], np.diff(bounds)) * BUCKETS, minlength=len(total))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["at", "n"])
-
-    counts = labelled.where("text is not null").select("text", "lang").mapInArrow(lean(count), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
-    table = np.full(len(names) * BUCKETS, SMOOTHING)
-    table[counts.column("at").to_numpy()] += counts.column("n").to_numpy()
-    table = table.reshape(len(names), BUCKETS)
-    return names, table / table.sum(axis=1, keepdims=True)
+                buckets, bounds = trigrams(batch.column(0).slice(a, b - a).to_pylist())
+                coded = batch.column(1).slice(a, b - a).dictionary_encode()
+                lang = np.repeat(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.diff(bounds))
+                order = np.argsort(lang, kind="stable")
+                cuts = np.searchsorted(lang[order], np.arange(len(coded.dictionary) + 1))
+                for i, name in enumerate(coded.dictionary.to_pylist()):
+                    if cuts[i] < cuts[i + 1]:
+                        counts = np.bincount(buckets[order[cuts[i] : cuts[i + 1]]], minlength=BUCKETS)
+                        held[name] = held[name] + counts if name in held else counts
+                if len(held) > HELD:
+                    yield from rows(held)
+                    held.clear()
+        yield from rows(held)
+
+    def rows(held):
+        for name, counts in held.items():
+            at = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(counts[at], pa.int64())], names=["lang", "at", "n"])
+
+    found = labelled.where("text is not null").select("text", "lang").mapInArrow(lean(count), "lang string, at int, n long").groupBy("lang", "at").agg(F.sum("n").alias("n")).toArrow()
+    names = sorted(set(found.column("lang").unique().to_pylist()))
+    number = {name: i for i, name in enumerate(names)}
+    coded = found.column("lang").combine_chunks().dictionary_encode()
+    lang = np.array([number[x] for x in coded.dictionary.to_pylist()], np.int64)[coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)] if names else np.zeros(0, np.int64)
+    return Model(names, lang, found.column("at").to_numpy().astype(np.int64), found.column("n").to_numpy())
 
 
 def proportions(p: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
@@ -81,11 +108,11 @@ def proportions(p: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) -> tupl
     return share, float(counts @ np.log(share @ p))
 
 
-def infer(model: np.ndarray, buckets: np.ndarray) -> tuple[int, float, int]:
+def infer(model: Model, buckets: np.ndarray) -> tuple[int, float, int]:
     """The language of most of a text, its proportion, and the number of languages in its set."""
     counts = np.bincount(buckets, minlength=BUCKETS)
     at = np.flatnonzero(counts)
-    counts, p = counts[at].astype(np.float64), model[:, at]
+    counts, p = counts[at].astype(np.float64), model.rows(at)
     order = np.argsort(-proportions(p, counts)[0], kind="stable") if len(p) > 1 else np.zeros(1, np.int64)
     share, chosen = np.ones(1), order[:1]
     reached = float(counts @ np.log(p[order[0]]))
@@ -102,50 +129,53 @@ def infer(model: np.ndarray, buckets: np.ndarray) -> tuple[int, float, int]:
 def identify(docs: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row for each input row: the id, lang_pred, score (the proportion of that language) and
     n_langs (languages in the chosen set). learn_from: a condition on docs; of the rows it is true
-    for, those with a language and a text are learned from.
+    for, those with a language and a letter in their text are learned from. Every such language is learned; a
+    language without a letter in any text isn't.
 
     Null texts and texts without a letter get `und`, score 0 and n_langs 0, and so does every text
     if there is nothing to learn from. Null ids and repeated rows stay; an empty table gives an
     empty one; other columns are ignored. Whole texts are used. Ties go to the first language.
     """
     ship(docs.sparkSession)
-    names, model = learn(docs.where(learn_from).where(F.col(lang_col).isNotNull()).select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")))
+    model = learn(docs.where(learn_from).where(F.col(lang_col).isNotNull()).select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")))
     source = docs.select(F.col(id_col), F.col(text_col).cast("string"))
     kind = source.schema[0].dataType.simpleString()
 
     def predict(batches):
         for batch in batches:
-            pred, score, n = verdicts(batch.column(1), names, model)
+            pred, score, n = verdicts(batch.column(1), model)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(n, pa.int32())], names=[id_col, "lang_pred", "score", "n_langs"])
 
     return source.mapInArrow(lean(predict), f"`{id_col}` {kind}, lang_pred string, score double, n_langs int")
 
 
-def verdicts(texts: pa.Array, names: list[str], model: np.ndarray) -> tuple[list, list, list]:
+def verdicts(texts: pa.Array, model: Model) -> tuple[list, list, list]:
     """Language, score and number of languages of each text."""
     rows = []
     texts = pc.fill_null(texts, "")
     for a, b in byte_groups(texts, GROUP_BYTES):
         buckets, bounds = trigrams(texts.slice(a, b - a).to_pylist())
         for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            if i == j or not names:
+            if i == j or not model.names:
                 rows.append(("und", 0.0, 0))
             else:
                 lang, score, n = infer(model, buckets[i:j])
-                rows.append((names[lang], score, n))
+                rows.append((model.names[lang], score, n))
     return tuple(map(list, zip(*rows, strict=True))) if rows else ([], [], [])
 
 
 def identified(docs: DataFrame, learn_from: Column, least_score: float = 0.5, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of docs, all columns, whose language identify() can tell: not `und`, and a language
-    with a proportion of at least least_score. Cases as there; no shuffle but for learning."""
+    with a proportion of at least least_score. Null texts and texts without a letter go; rows with null ids and
+    repeated rows stay or go by their text; an empty table gives an empty one; other columns may have any
+    names. Whole texts are used; no shuffle but for learning."""
     ship(docs.sparkSession)
-    names, model = learn(docs.where(learn_from).where(F.col(lang_col).isNotNull()).select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")))
+    model = learn(docs.where(learn_from).where(F.col(lang_col).isNotNull()).select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")))
     at = docs.columns.index(text_col)
 
     def keep(batches):
         for batch in batches:
-            pred, score, _ = verdicts(batch.column(at), names, model)
+            pred, score, _ = verdicts(batch.column(at), model)
             yield batch.filter(pa.array([p != "und" and s >= least_score for p, s in zip(pred, score, strict=True)], pa.bool_()))
 
     return docs.mapInArrow(lean(keep), docs.schema)

@@ -1,8 +1,11 @@
 """Operators on each text by itself: tokens, secrets, languages."""
 
 import hashlib
+import math
 import random
 import re
+import time
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -150,8 +153,6 @@ def test_language(spark):
     for g in got:
         assert 0 <= g.score <= 1
         assert (g.lang_pred == "und") == (not any(c.isalpha() for c in g.text or ""))
-    import zlib
-
     assert all(g.held == (zlib.crc32(str(g.doc_id).encode()) % 5 == 0) for g in got)
     assert {x.lang_pred for x in language.identify(docs, F.lit(False)).collect()} == {"und"}
     assert language.identify(frame(spark, []), F.lit(True)).collect() == []
@@ -177,3 +178,130 @@ def test_shingles():
     seen = {}
     for t, g in zip(texts, got, strict=True):
         assert seen.setdefault(shingles(t), g.tobytes()) == g.tobytes()
+
+
+def plain_trigrams(text):
+    """The hash bucket of each letter with its neighbours, one after another."""
+    low = " " + text.lower() + " "
+    out = []
+    for i, c in enumerate(low):
+        if regex.match(r"\p{L}", c):
+            a, b, d = (ord(x) if regex.match(r"\p{L}", x) else 32 for x in (low[i - 1], c, low[i + 1]))
+            h = (a * 0x9E3779B1 + b * 0x85EBCA77 + d * 0xC2B2AE3D) % 2**32
+            h ^= h >> 15
+            out.append((h * 0x2C1B3C6D % 2**32) >> 18)
+    return out
+
+
+def plain_language(text, learned):
+    """EM and the choice of the language set, in loops over single trigrams. learned: lang -> texts."""
+    tables = {}
+    for lang, texts in learned.items():
+        counts = {}
+        for x in texts:
+            for g in plain_trigrams(x):
+                counts[g] = counts.get(g, 0) + 1
+        if counts:
+            total = sum(counts.values()) + 0.5 * 16384
+            tables[lang] = lambda g, c=counts, t=total: (c.get(g, 0) + 0.5) / t
+    grams = plain_trigrams(text or "")
+    if not grams or not tables:
+        return "und", 0.0, 0
+
+    def em(langs):
+        share = {x: 1 / len(langs) for x in langs}
+        for _ in range(12):
+            new = dict.fromkeys(langs, 0.0)
+            for g in grams:
+                whole = sum(share[x] * tables[x](g) for x in langs)
+                for x in langs:
+                    new[x] += share[x] * tables[x](g) / whole / len(grams)
+            share = new
+        return share, sum(math.log(sum(share[x] * tables[x](g) for x in langs)) for g in grams)
+
+    share, _ = em(sorted(tables))
+    order = sorted(sorted(tables), key=lambda x: -share[x])
+    chosen, reached = em(order[:1])
+    for size in range(2, len(order) + 1):
+        s, value = em(order[:size])
+        if value - reached <= 4.0 * math.log(1 + len(grams)):
+            break
+        chosen, reached = s, value
+    top = max(chosen, key=lambda x: chosen[x])
+    return top, chosen[top], len(chosen)
+
+
+def test_language_against_a_plain_version(spark):
+    r = rng(41)
+    rows = [(i, spoken(r, lang, r.randint(3, 25)), lang, "a") for i in range(60) for lang in [r.choice(list(SYLLABLES))]]
+    rows += [(100 + i, spoken(r, "de", 20) + " " + spoken(r, r.choice(["fr", "en"]), r.randint(2, 20)) + " 7'x \u00c9", None, "a") for i in range(15)]
+    rows += [(200, "", "xx", "a"), (201, None, "xx", "a"), (202, "12 34", "yy", "a"), (203, "zzz", None, None), (204, "q", None, None)]
+    docs = frame(spark, rows)
+    held = language.held_out(F.col("doc_id"))
+    got = {g.doc_id: g for g in language.identify(docs, ~held).collect()}
+    learned = {}
+    for i, text, lang, _ in rows:
+        if lang is not None and zlib.crc32(str(i).encode()) % 5:
+            learned.setdefault(lang, []).append(text or "")
+    assert {"xx", "yy"} & set(learned)  # languages without a letter, which can't be predicted
+    for i, text, *_ in rows:
+        lang, score, n = plain_language(text, learned)
+        assert (got[i].lang_pred, got[i].n_langs) == (lang, n) and got[i].score == pytest.approx(score, abs=1e-9), i
+
+
+def test_many_languages(spark):
+    """Every label is learned, however many there are."""
+    r = rng(42)
+    alphabets = ["".join(r.sample("abcdefghijklmnopqrstuvwxyz", 5)) for _ in range(400)]
+    rows = [(1000 * k + i, " ".join("".join(r.choice(x) for _ in range(6)) for _ in range(30)), f"l{k:03}", "a") for k, x in enumerate(alphabets) for i in range(3)]
+    docs = frame(spark, rows)
+    got = language.identify(docs, F.col("doc_id") % 1000 != 0).join(docs.select("doc_id", F.col("lang").alias("true")), "doc_id").collect()
+    assert len({g.lang_pred for g in got}) == 400 and sum(g.lang_pred == g.true for g in got) >= 0.95 * len(got)
+
+
+def plain_novel(text, base, novelty):
+    """Every sensitive word with every run of characters, in the words of the rule."""
+    out = set()
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]+", text):
+        words = [w.end() for w in secret_scan.SENSITIVE.finditer(text)]
+        before, inside = any(m.start() - secret_scan.REACH <= e <= m.start() for e in words), [e for e in words if m.start() < e < m.end()]
+        if not before and not inside:
+            continue
+        begin = max([m.start() if before else min(inside), *(e for e in inside if m.end() - e >= 12)])
+        own = text[begin : m.end()]
+        if len(own) >= 12 and any(c.isdigit() for c in own) and any(c.isalpha() for c in own) and not any(s < m.end() and begin < e for s, _, e in base):
+            if novelty(text[max(0, begin - 200) : begin], own, text[m.end() : m.end() + 200]) >= secret_scan.NOVEL:
+                out.add((begin, 3, m.end()))
+    return sorted(out)
+
+
+def test_novel_spans_against_a_plain_version():
+    r = rng(43)
+    novelty = secret_scan.Novelty()
+    key = lambda: "".join(r.choice("ABCDEFGHijklmnop0123456789") for _ in range(r.randint(8, 30)))
+    parts = ["token", "secret ", "Bearer ", "the ", "=", " : ", "\n", "x" * 45, " " * 39, ".", '"', "password=", "0123456789abcdef" * 2]
+    n = 0
+    for _ in range(2000):
+        text = "".join(key() if r.random() < 0.3 else r.choice(parts) for _ in range(r.randrange(1, 14)))
+        base = secret_scan.base_spans(text)
+        got = secret_scan.novel_spans(text, base, novelty)
+        assert got == plain_novel(text, base, novelty), text
+        n += len(got)
+    assert n > 300
+
+
+def test_secrets_in_very_long_texts(spark):
+    texts = ["token of the day. " * 550_000, "token" * 400_000, "secret " + "aB3" * 500_000, "AKIA" * 500_000, "token" + " " * 2_000_000 + "= x"]
+    start = time.perf_counter()
+    for t in texts:
+        secret_scan.novel_spans(t, secret_scan.base_spans(t), secret_scan.Novelty())
+    assert time.perf_counter() - start < 60
+    docs = frame(spark, list(enumerate(texts)))
+    assert secret_scan.scan(docs).count() == 5 and secret_scan.without_secrets(docs).count() <= 5
+
+
+def test_dictionary_of_the_corpus(spark):
+    docs = frame(spark, [(i, f"my_vault_name token: q8Zt5LmP0xVw{i} other_{'abcdef'[i % 6]}") for i in range(30)] + [(100, None), (101, "far_away words")])
+    found = secret_scan.dictionary(docs, "text")
+    assert found.endswith(b"token my_vault_name") or b"my_vault_name" in found[-60:]
+    assert b"q8Zt5" not in found and b"far_away" not in found and secret_scan.dictionary(frame(spark, []), "text") == secret_scan.COMMON
