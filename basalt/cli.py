@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 
 from basalt.operators.engine import Engine, ExecutionResult
 from basalt.operators.wal import WriteAheadLog, recovered
-from basalt.plans.syntax import CreateIndex, CreateTable, Insert, SyntaxProblem, parse
+from basalt.plans.syntax import CreateIndex, CreateTable, Insert, SyntaxProblem, parse, tokenize
 
 HELP = r"""Commands:
   \help, \h, \?        this text
@@ -46,8 +46,10 @@ class Shell:
         if not self.kept and not line.strip():
             return True
         self.kept.append(line)
-        if line.split("--")[0].rstrip().endswith(";"):
-            text, self.kept = "\n".join(self.kept), []
+        text = "\n".join(self.kept)
+        tokens = tokenize(text)
+        if len(tokens) > 1 and tokens[-2].kind == ";":
+            self.kept = []
             self.statement(text)
         return True
 

@@ -6,7 +6,7 @@ the catalog and publishes a new version for each change.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basalt.plans.syntax import ColumnSpec
@@ -16,11 +16,17 @@ ROW_ID = "_row_id"
 
 
 def first_of_each(rows: DataFrame, key: str, order: Column | None = None) -> DataFrame:
-    """The first row of each non-null key, in the given order (or that of arrival)."""
+    """The first row of each non-null key, in the given order (or that of arrival). Rows of a key are
+    reduced to one in each task before they are shuffled, so a frequent key costs no more than others."""
     order = F.monotonically_increasing_id() if order is None else order
-    ranked = rows.where(F.col(key).isNotNull()).withColumn("_order", order)
-    ranked = ranked.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy("_order")))
-    return ranked.where("_n = 1").drop("_order", "_n")
+    whole = rows.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), order.alias("_order"), F.struct(*rows.columns).alias("_row"))
+    kept = whole.groupBy("_key").agg(F.min_by("_row", "_order").alias("_row"))
+    return kept.select("_row.*")
+
+
+def index_size(rows: DataFrame, key: str) -> DataFrame:
+    """n: the keys of a unique index on rows."""
+    return rows.agg(F.count_distinct(key).alias("n"))
 
 
 def insert(table: DataFrame, rows: DataFrame, key: str, order: Column | None = None) -> DataFrame:
@@ -71,6 +77,7 @@ class Heap:
     def __init__(self, catalog: Catalog, name: str, columns: tuple[ColumnSpec, ...] = ()):
         self.catalog, self.name = catalog, name
         self.columns = [c.name for c in columns] or [f.name for f in catalog.tables[name].to_schema().fields[1:]] if columns or name in catalog.tables else []
+        self.last: tuple = (None, 0)  # the folders that were read last, and the largest id in them
         catalog.create_table(name, (ColumnSpec(ROW_ID, "INTEGER"), *columns))
 
     def rows(self) -> DataFrame:
@@ -78,10 +85,12 @@ class Heap:
 
     def insert(self, *rows: tuple) -> list[int]:
         with self.catalog.lock:
-            last = self.rows().agg(F.max(ROW_ID)).first()[0] or 0
+            folders = self.catalog.tables[self.name].folders
+            last = self.last[1] if self.last[0] == folders else self.rows().agg(F.max(ROW_ID)).first()[0] or 0
             ids = list(range(last + 1, last + 1 + len(rows)))
             frame = self.catalog.spark.createDataFrame([(i, *r) for i, r in zip(ids, rows, strict=True)], self.catalog.tables[self.name].to_schema())
-            self.catalog.publish(self.name, add=(self.catalog.write(self.name, frame),))
+            self.catalog.publish(self.name, add=(self.catalog.write(self.name, frame, few=True),))
+            self.last = (self.catalog.tables[self.name].folders, last + len(rows))
             return ids
 
     def get(self, row_id: int) -> tuple | None:
@@ -131,7 +140,7 @@ class KeyedTable:
         with self.catalog.lock:
             new = fresh(self.rows(), self._frame(rows), self.key)
             if self.dead:
-                new = new.where(~F.col(self.key).isin(*self.dead))
+                new = delete(new, self.catalog.spark.createDataFrame([(k,) for k in self.dead], f"`{self.key}` int"), self.key)
             folder = self.catalog.write(self.name, new, (self.key,))
             n = self.catalog.spark.read.parquet(folder).count()
             if n:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from basalt.functions import rid
 from basalt.operators import keyed, wal
-from basalt.operators.engine import Engine, inserted, scan
+from basalt.operators.engine import Engine, scan
 from basalt.plans.syntax import ColumnSpec
 from basalt.sources.catalog import Catalog, Index
 
@@ -89,22 +90,50 @@ for _name, _condition, _oracle in (
     SQL[_name] = f"SELECT p_partkey, p_size FROM {_HOLES} WHERE {_oracle}"
 
 
-@query("SELECT * FROM part WHERE p_partkey = 42")
+def warehouse(spark: SparkSession) -> str:
+    """A new folder that the driver and all executors see."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and spark.sparkContext.master.startswith("local["):
+        return "file://" + tempfile.mkdtemp(prefix="basalt")
+    return f"{(shared or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/basalt-engine/{uuid.uuid4().hex}"
+
+
+def engine(spark: SparkSession, *statements: str, log: bool = False) -> Engine:
+    """An engine in a folder of its own, after these statements."""
+    path = warehouse(spark)
+    out = Engine(spark, path, wal.WriteAheadLog(spark, path + "/_log") if log else None)
+    for sql in statements:
+        out.execute(sql)
+    return out
+
+
+_PARTS_TABLE = "CREATE TABLE part (p_partkey INTEGER, p_name VARCHAR(60), p_size INTEGER)"
+
+
+@query("SELECT p_partkey::INTEGER AS p_partkey, p_name, p_size::INTEGER AS p_size FROM part WHERE p_partkey = 42 UNION ALL SELECT 42, 'late', 7")
 def index_point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    engine = Engine(spark, "file://" + tempfile.mkdtemp(prefix="basalt"))
-    engine.catalog.register("part", f"{sf_dir}/part.parquet")
-    engine.catalog.add_index("part", Index("part_key", "p_partkey"))
-    return engine.execute("SELECT * FROM part WHERE p_partkey = 42").frame
+    """CREATE TABLE, rows, CREATE INDEX, an INSERT and a lookup of its key."""
+    e = engine(spark, _PARTS_TABLE)
+    e.load("part", _parts(spark, sf_dir))
+    e.execute("CREATE INDEX part_key ON part (p_partkey)")
+    e.execute("INSERT INTO part VALUES (42, 'late', 7)")
+    return e.execute("SELECT * FROM part WHERE p_partkey = 42").frame
 
 
-@query("SELECT * FROM region UNION ALL SELECT 99, 'ATLANTIS'")
+@query("SELECT r_regionkey::INTEGER AS r_regionkey, r_name FROM region UNION ALL SELECT 99, 'ATLANTIS'")
 def insert_positional(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inserted(table(spark, sf_dir, "region"), "INSERT INTO region VALUES (90 + 9, 'ATLANTIS')")
+    e = engine(spark, "CREATE TABLE region (r_regionkey INTEGER, r_name VARCHAR)")
+    e.load("region", table(spark, sf_dir, "region").select("r_regionkey", "r_name"))
+    e.execute("INSERT INTO region VALUES (90 + 9, 'ATLANTIS')")
+    return e.execute("SELECT * FROM region").frame
 
 
-@query("SELECT * FROM nation UNION ALL SELECT 99, 'LEMURIA', NULL")
+@query("SELECT n_nationkey::INTEGER AS n_nationkey, n_name, n_regionkey::INTEGER AS n_regionkey FROM nation UNION ALL SELECT 99, 'LEMURIA', NULL")
 def insert_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inserted(table(spark, sf_dir, "nation"), "INSERT INTO nation (n_name, n_nationkey) VALUES ('LEMURIA', 99)")
+    e = engine(spark, "CREATE TABLE nation (n_nationkey INTEGER, n_name VARCHAR, n_regionkey INTEGER)")
+    e.load("nation", table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey"))
+    e.execute("INSERT INTO nation (n_name, n_nationkey) VALUES ('LEMURIA', 99)")
+    return e.execute("SELECT * FROM nation").frame
 
 
 _INCOMING = "(SELECT p_partkey * 3 AS p_partkey, 'new' AS p_name, p_size FROM part)"
@@ -165,18 +194,18 @@ def tuple_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT count(DISTINCT l_orderkey) AS n FROM lineitem")
 def index_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys of a unique index over repeated keys: the first row of each stays."""
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
-    return keyed.tuple_count(keyed.first_of_each(lines, "l_orderkey", F.col("l_linenumber")))
+    return keyed.index_size(table(spark, sf_dir, "lineitem"), "l_orderkey")
 
 
-@query("SELECT p_partkey, (p_partkey << 16) | p_size AS rid, p_partkey & 65535 AS page, p_size::BIGINT AS slot FROM part WHERE p_partkey < 65536")
+@query("SELECT p_partkey, ((p_partkey & 65535) << 16) | (p_size & 65535) AS rid, p_partkey & 65535 AS page, (p_size & 65535)::BIGINT AS slot FROM part")
 def rid_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = table(spark, sf_dir, "part").where("p_partkey < 65536").select("p_partkey", rid.pack(F.col("p_partkey"), F.col("p_size")).alias("rid"))
+    """Page ids keep their lower 16 bits."""
+    packed = table(spark, sf_dir, "part").select("p_partkey", rid.pack(F.col("p_partkey"), F.col("p_size")).alias("rid"))
     return packed.select("p_partkey", "rid", rid.page_of(F.col("rid")).alias("page"), rid.slot_of(F.col("rid")).alias("slot"))
 
 
 def _catalog(spark: SparkSession) -> Catalog:
-    catalog = Catalog(spark, "file://" + tempfile.mkdtemp(prefix="basalt"))
+    catalog = Catalog(spark, warehouse(spark))
     catalog.create_table("users", (ColumnSpec("id", "INTEGER", nullable=False), ColumnSpec("name", "VARCHAR", 50), ColumnSpec("active", "BOOLEAN")))
     catalog.create_table("orders", (ColumnSpec("id", "INTEGER"),))
     catalog.create_table("scratch", (ColumnSpec("id", "INTEGER"),))

@@ -210,3 +210,60 @@ def test_shell(spark, tmp_path):
     for part in ("No tables found.", "Table created.", "1 row inserted.", "Index created.", "a | b", "1 | one", "1 row returned.", "Error: Column does not exist: z", "Error: Parse error", "index i on column 0", "Table 'u' not found.", "t (2 columns)", "Unknown command"):
         assert part in text, part
     assert shell.engine.transactions.active_count == 0
+
+
+def test_names_that_differ_in_case(engine):
+    assert engine.execute("CREATE TABLE t (a INTEGER, A INTEGER)").message == "Column names have to differ in more than case"
+    assert engine.catalog.list_tables() == []
+
+
+def test_inserts_keep_the_layout(engine, spark):
+    """Rows that come in after CREATE INDEX are sorted and compacted, and a lookup skips row groups."""
+    engine.execute("CREATE TABLE t (a INTEGER, b VARCHAR)")
+    engine.execute("CREATE INDEX i ON t (a)")
+    engine.load("t", spark.range(5000).selectExpr("id * 7919 % 5000", "'x' || id"))
+    for i in range(17):
+        engine.execute(f"INSERT INTO t VALUES ({-i}, 'late')")
+    assert len(engine.catalog.tables["t"].folders) < 16
+    for folder in engine.catalog.tables["t"].folders:
+        for part in spark.read.parquet(folder).rdd.glom().collect():
+            assert [r.a for r in part] == sorted(r.a for r in part)
+    plan = engine.explain("SELECT * FROM t WHERE a = 42")
+    assert "PushedFilters: [IsNotNull(a), EqualTo(a,42)]" in plan
+    assert engine.execute("SELECT * FROM t").rows_affected == 5017 and rows(engine.execute("SELECT a FROM t WHERE a = 42")) == [(42,)]
+
+
+def test_two_processes(spark, tmp_path):
+    path = f"file://{tmp_path}/w"
+    a, b = Engine(spark, path), Engine(spark, path)
+    a.execute("CREATE TABLE t (x INTEGER)")
+    assert not b.catalog.create_table("t", (ColumnSpec("x", "INTEGER"),))
+    for i in range(3):
+        assert a.execute(f"INSERT INTO t VALUES ({i})").success and b.execute(f"INSERT INTO t VALUES ({10 + i})").success
+    assert len(rows(Engine(spark, path).execute("SELECT * FROM t"))) == 6
+    stale = a.catalog.tables["t"]
+    b.execute("INSERT INTO t VALUES (99)")
+    assert a.catalog.tables["t"] == stale
+    with pytest.raises(RuntimeError):
+        a.catalog.publish("t", instead=())
+
+
+def test_commit_of_two_tables_is_one_step(engine):
+    engine.execute("CREATE TABLE t (a INTEGER)")
+    engine.execute("CREATE TABLE u (a INTEGER)")
+    txn = engine.begin()
+    engine.execute("INSERT INTO t VALUES (1)", txn)
+    engine.execute("INSERT INTO u VALUES (2)", txn)
+    before = engine.catalog.version
+    assert engine.commit(txn) and engine.catalog.version == before + 1
+    assert rows(engine.execute("SELECT * FROM t")) == [(1,)] and rows(engine.execute("SELECT * FROM u")) == [(2,)]
+
+
+def test_frequent_keys(spark):
+    """First rows by key without a window: the plan aggregates before it shuffles."""
+    rows_ = spark.range(2000).selectExpr("id % 3 as k", "id as v").union(spark.createDataFrame([(None, 1)], "k long, v long"))
+    got = keyed.first_of_each(rows_, "k", rows_.v)
+    assert sorted(map(tuple, got.collect())) == [(0, 0), (1, 1), (2, 2)]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "partial_min_by" in plan and "Window" not in plan
+    assert keyed.index_size(rows_, "k").first().n == 3
