@@ -415,3 +415,45 @@ def test_without_copies_by_row(spark):
     left = sorted(((x[1], x[0]) for x in got.collect()), key=repr)
     assert left == sorted([(1, a), (1, b), (2, rows[3][1]), (4, None), (None, "alone here"), (5, "")], key=repr)
     assert minhash.without_copies(frame(spark, [])).collect() == []
+
+
+def test_passages_quoted_before(spark):
+    """A passage of two texts, each piece of which short texts with smaller ids quote."""
+    r = rng(51)
+    p = prose(r, 200, 100_000).split()
+    rows = [(i, " ".join([prose(r, 20, 100_000), *p[a : a + 10], prose(r, 20, 100_000)])) for i, a in enumerate([*range(0, 190, 4), *range(2, 190, 27)])]
+    rows += [(500 + i, " ".join([prose(r, 30, 100_000), *p, prose(r, 30, 100_000)])) for i in range(2)]
+    got = passages.repeated_passages(frame(spark, rows)).collect()
+    assert {(g.doc_id, g.start_word, g.end_word, g.other_id) for g in got} == {(500, 30, 230, 501), (501, 30, 230, 500)}
+
+
+def test_common_lines_stay_linear(spark, monkeypatch):
+    """A short line in very many texts gives no passage and no pairs beyond a star."""
+    r = rng(52)
+    line = prose(r, 35, 100_000)
+    rows = [(i, f"{prose(r, 60, 100_000)} {line} {prose(r, 60, 100_000)}") for i in range(300)]
+    seen, saved = [], passages.saved
+    monkeypatch.setattr(passages, "saved", lambda df, name, **k: (out := saved(df, name, **k), name == "chains" and seen.append(out.count()))[0])
+    assert passages.repeated_passages(frame(spark, rows)).collect() == []
+    assert sum(seen) <= 300 * 20
+
+
+@pytest.mark.parametrize("n,identity,least", [(100, 0.95, 0.98), (100, 0.9, 0.95), (70, 0.9, 0.9), (100, 0.85, 0.9)])
+def test_recall_of_fuzzy_passages(n, identity, least):
+    """Copies with evenly likely changed words, from seeds to alignment, against the words that stayed."""
+    r, found, trials = np.random.default_rng(53), 0, 0
+    while trials < 200:
+        p = r.integers(0, 2**63, n, dtype=np.uint64)
+        q = np.where(r.random(n) < identity, p, r.integers(0, 2**63, n, dtype=np.uint64))
+        if not 50 <= (p == q).sum() or (p == q).mean() < 0.8:
+            continue
+        trials += 1
+        a, b = (np.concatenate([r.integers(0, 2**63, 40, dtype=np.uint64), w, r.integers(0, 2**63, 40, dtype=np.uint64)]) for w in (p, q))
+        (ha, xa), (hb, xb) = passages.seeds(a), passages.seeds(b)
+        _, i, j = np.intersect1d(ha, hb, return_indices=True)
+        for x, y in passages.chains(xa[i], xb[j]) if len(i) else []:
+            got = passages.align(a, b, x, y)
+            if got and got[4] >= 50 and got[4] >= 0.8 * max(got[1] - got[0], got[3] - got[2]):
+                found += 1
+                break
+    assert found >= least * trials, found / trials
