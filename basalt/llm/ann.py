@@ -15,6 +15,7 @@ from basalt.llm.blocks import best, clean
 from basalt.llm.common import ship
 
 SLICE = 256  # queries whose scores are held at once
+RECOMPUTED = 32 << 20  # bytes of original vectors that are copied at once
 
 
 def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -35,6 +36,12 @@ def inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def recomputed(x, c, r, col):
+    """Inner products of x's rows r with c's rows col, in slices of RECOMPUTED bytes."""
+    step = max(1, RECOMPUTED // (16 * max(1, x.shape[1])))
+    return np.concatenate([np.zeros(0), *(inner(x[r[i : i + step]], c[col[i : i + step]]) for i in range(0, len(r), step))])
+
+
 def tile(q_ids, q, c_ids, c, k):
     """Each query's k best candidates (sorted by id) of a tile. Of equal vectors only the first
     k + 1 can matter: the rest have the same score and larger ids."""
@@ -60,7 +67,7 @@ def tile(q_ids, q, c_ids, c, k):
         width = low.shape[1]
         cut = np.partition(low, width - k, axis=1)[:, width - k] if width > k else np.full(len(x), -np.inf)
         r, col = np.nonzero((high >= cut[:, None]) & ~own)
-        score = inner(x[r], c[col])
+        score = recomputed(x, c, r, col)
         order = np.lexsort((c_ids[col], -score, r))
         r, col, score = r[order], col[order], score[order]
         keep = np.arange(len(r)) - np.searchsorted(r, r) < k

@@ -1,6 +1,6 @@
 """Queries against all candidates, block by block, for vector operators.
 
-Rows fall into blocks of bounded size by a hash of their id. A task gets one block of queries and
+Rows fall into blocks of bounded size by a hash of id and vector. A task gets one block of queries and
 one block of candidates and gives each query's best candidates there; heaps merge what the tiles
 gave. Rows are copied once for each block on the other side, and nothing is broadcast.
 """
@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from basalt.llm.common import saved
+
 BLOCK = 4096
 
 
@@ -52,12 +54,15 @@ def best(vectors: DataFrame, is_query: Column, k: int, tile, score_type: str, bl
     as candidates; a repeated query is asked once. Fewer candidates give fewer rows; an empty table
     none.
     """
+    # equal rows (id and vector) come to one with a number of copies; more than k + 1 of them can't matter
+    equal = vectors.groupBy("id", "v").agg(F.least(F.count(F.lit(1)), F.lit(k + 1)).alias("copies"))
+    vectors = saved(equal.select("id", "v", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")), "vectors")
     n, n_queries = vectors.agg(F.count(F.lit(1)), F.count(F.when(is_query, 1))).first()
     c_blocks, q_blocks = max(1, -(-n // block)), max(1, -(-n_queries // block))
-    at = lambda blocks, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(blocks)).cast("int")
+    at = lambda blocks, *of: F.pmod(F.xxhash64(*of), F.lit(blocks)).cast("int")
     every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    candidates = vectors.select("id", "v", at(c_blocks, 1).alias("cb"), every(q_blocks).alias("qb"))
-    queries = vectors.where(is_query).dropDuplicates(["id"]).select("id", "v", at(q_blocks, 2).alias("qb"), every(c_blocks).alias("cb"))
+    candidates = vectors.select("id", "v", at(c_blocks, "id", "v", "copy").alias("cb"), every(q_blocks).alias("qb"))
+    queries = vectors.where(is_query).dropDuplicates(["id"]).select("id", "v", at(q_blocks, "id", F.lit(2)).alias("qb"), every(c_blocks).alias("cb"))
     kind = pa.float64() if score_type == "double" else pa.int64()
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:

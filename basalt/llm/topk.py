@@ -1,8 +1,8 @@
 """Exact top-k by inner product over sparse integer rows: exhaustive term-at-a-time accumulation.
 
 A tile keeps postings of its candidates by component: which rows have a weight there, and which.
-Component by component, the queries that have a weight scatter its product with the postings into
-their dense arrays of scores. A partition selects each query's k best; heaps merge the tiles.
+Component by component, all queries that have a weight scatter its product with the postings into
+their dense arrays of scores at once. A partition selects each query's k best; heaps merge the tiles.
 """
 
 from __future__ import annotations
@@ -29,12 +29,11 @@ def tile(q_ids, q, c_ids, c, k):
             own = np.flatnonzero(x[:, term])
             if not len(own) or not len(at):
                 continue
-            if len(at) == len(c):
-                for i in own:
-                    total[i] += x[i, term] * weights
+            added = np.multiply.outer(x[own, term], weights)
+            if len(own) == len(x) and len(at) == len(c):
+                total += added
             else:
-                for i in own:
-                    total[i, at] += x[i, term] * weights
+                total[np.ix_(own, at)] += added
         for i, query in enumerate(q_ids[begin : begin + SLICE]):
             others = np.flatnonzero(c_ids != query)
             got = others[top_of(total[i, others], k)]

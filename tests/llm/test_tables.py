@@ -457,3 +457,29 @@ def test_recall_of_fuzzy_passages(n, identity, least):
                 found += 1
                 break
     assert found >= least * trials, found / trials
+
+
+def test_survivors_take_bounded_memory():
+    """Nearly equal vectors, all of which the bounds let through."""
+    import tracemalloc
+
+    r = np.random.default_rng(61)
+    base = r.normal(size=768)
+    c, q = (base + 1e-9 * r.normal(size=(n, 768)) for n in (1500, 64))
+    tracemalloc.start()
+    rows_, cols, scores = ann.tile(np.arange(64) + 10_000, q, np.arange(1500), c, 20)
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+    for i in (0, 63):
+        want = sorted(((-float(ann.inner(q[i : i + 1], c[j : j + 1])[0]), j) for j in range(1500)))[:20]
+        assert [(-s, j) for s, j in zip(scores[rows_ == i].tolist(), cols[rows_ == i].tolist(), strict=True)] == want
+
+
+def test_one_row_many_times(spark, monkeypatch):
+    """Repeated rows are candidates each, and blocks stay small."""
+    rows = [(7, [1.0, 2.0])] * 500 + [(i, [float(i % 5), 1.0]) for i in range(100, 160)]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = topk.top_k(docs, F.col("id") == 100, 5).orderBy("rank").collect()
+    assert len(got) == 5 and {g.vec_id for g in got} == {7} and {g.score for g in got} == {2 * 65536}
+    near = ann.nearest(docs, F.col("id") == 104, 3).orderBy("rank").collect()
+    assert [(g.vec_id, g.score) for g in near] == [(109, 17.0), (114, 17.0), (119, 17.0)]
