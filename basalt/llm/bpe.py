@@ -2,12 +2,13 @@
 
 Encoding: the texts are cut into chunks of whole texts. Each chunk's pre-tokens are exploded into
 its distinct words and, for each position, the number of the word there. The words alone travel:
-each goes to the partition of its hash, where a word that many chunks share is encoded once, and
+each goes to the bucket of its hash, where every distinct word is encoded once, and
 its ids are joined back to the chunks that asked for it. A chunk then puts the ids in the order of
 its positions. Words travel in blocks, one for each chunk and hash bucket, so that a word found in
-every text costs one entry a chunk, never a row an occurrence.
+every text costs one entry a chunk, never a row an occurrence. Buckets are as many as the bytes of
+the texts need, so the words of one fit a task at every size of the input.
 
-Decoding joins ids with the table of token bytes, a table of the vocabulary's size.
+Decoding joins ids with the table of token bytes, a table of the vocabulary's size, in each worker.
 """
 
 from __future__ import annotations
@@ -29,7 +30,8 @@ from basalt.llm.pretokens import pretokens
 
 CHUNK_BYTES = 4 << 20
 SLICE_TOKENS = 1 << 18
-CACHE_WORDS = 100_000  # in each of two generations
+#: Bytes of text for each bucket of words, and for each task that puts chunks together.
+BUCKET_BYTES, TASK_BYTES = 8 << 20, 32 << 20
 
 
 @functools.cache
@@ -122,14 +124,17 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     other columns are ignored. A text is never cut: a chunk holds at least one whole text.
 
     Two shuffles: blocks of distinct words by hash bucket, and their ids and the positions by chunk.
-    buckets: the number of hash buckets, at first spark.sql.shuffle.partitions.
+    buckets: the number of hash buckets; if not given, one for each BUCKET_BYTES of the texts, and at least
+    spark.sql.shuffle.partitions. A bucket's distinct words are held in a worker while it is encoded.
     """
     spark = docs.sparkSession
     ship(spark)
-    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     if "Exchange" in source._jdf.queryExecution().executedPlan().toString():
         source = saved(source, "bpe-texts")  # both branches must see the same partitions
+    size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n, tasks = buckets or max(least, -(-size // BUCKET_BYTES)), max(least, -(-size // TASK_BYTES))
     kind = source.schema[0].dataType.simpleString()
     at = f"chunk long, ids array<{kind}>, bounds array<long>, positions binary, words binary"
 
@@ -138,22 +143,22 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
             words, _, _ = ranked(texts)
             bucket = np.fromiter((xxhash.xxh3_64_intdigest(w) % n for w in words), np.int64, len(words))
             order = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[order], np.arange(n + 1))
+            present, cuts = np.unique(bucket[order], return_index=True)
             rows = []
-            for b in range(n):
-                if cuts[b] < cuts[b + 1]:
-                    own = order[cuts[b] : cuts[b + 1]]
-                    part = [words[i] for i in own]
-                    rows.append((b, number, pack(own, np.fromiter(map(len, part), np.int64, len(part)), tail=b"".join(part))))
+            for b, own in zip(present.tolist(), np.split(order, cuts[1:]) if words else (), strict=True):
+                part = [words[i] for i in own]
+                rows.append((b, number, pack(own, np.fromiter(map(len, part), np.int64, len(part)), tail=b"".join(part))))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["bucket", "chunk", "words"])
 
     def encoded(batches):
         encode_word = encoder(path, pattern)
         known: dict[bytes, list[int]] = {}
-        older: dict[bytes, list[int]] = {}
+        last = None
         for batch in batches:
-            for number, blob in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for bucket, number, blob in zip(*map(pa.Array.to_pylist, batch.columns), strict=True):
+                if bucket != last:  # a bucket's blocks follow each other, and no other bucket has its words
+                    known, last = {}, bucket
                 (own, sizes), tail = unpack(blob)
                 ends = np.cumsum(sizes).tolist()
                 ids, begin = [], 0
@@ -162,11 +167,8 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
                     begin = end
                     got = known.get(word)
                     if got is None:
-                        got = older.get(word)
-                        known[word] = got = encode_word(word.decode("utf-8")) if got is None else got
+                        known[word] = got = encode_word(word.decode("utf-8"))
                     ids.append(got)
-                if len(known) > CACHE_WORDS:
-                    known, older = {}, known
                 lengths = np.fromiter(map(len, ids), np.int64, len(ids))
                 flat = np.fromiter((i for x in ids for i in x), np.uint32, int(lengths.sum()))
                 yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([pack(own, lengths, flat)], pa.binary())], names=["chunk", "words"])
@@ -203,11 +205,11 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
         column = pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(out.astype("<u4").tobytes())])
         return pa.table([ids, column], names=[id_col, "ids"])
 
-    words = source.mapInArrow(lean(split), "bucket int, chunk long, words binary").repartition(n, "bucket")
+    words = source.mapInArrow(lean(split), "bucket int, chunk long, words binary").repartition(n, "bucket").sortWithinPartitions("bucket")
     answers = words.mapInArrow(lean(encoded), "chunk long, words binary")
     order = source.mapInArrow(lean(positions), at)
     both = order.unionByName(answers, allowMissingColumns=True)
-    return both.groupBy("chunk").applyInArrow(reassemble, f"`{id_col}` {kind}, ids binary")
+    return both.repartition(tasks, "chunk").groupBy("chunk").applyInArrow(reassemble, f"`{id_col}` {kind}, ids binary")
 
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:

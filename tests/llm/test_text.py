@@ -74,6 +74,18 @@ def test_token_counts_of_odd_rows(spark, monkeypatch):
     assert token_counts.token_counts(frame(spark, []), JSON).collect() == []
 
 
+def test_bpe_buckets_follow_the_bytes(spark, monkeypatch):
+    r = rng(8)
+    rows = [(i, " ".join(r.choices(["a", "the", "naïve", "x1", "  ", "\n"], k=r.randrange(40)))) for i in range(60)] + [(60 + i, "") for i in range(30)]
+    want = sorted(map(tuple, registry.bpe_digests(frame(spark, rows)).collect()))
+    monkeypatch.setattr(bpe, "CHUNK_BYTES", 1 << 9)  # also chunks of empty texts alone
+    monkeypatch.setattr(bpe, "BUCKET_BYTES", 1 << 6)
+    monkeypatch.setattr(bpe, "TASK_BYTES", 1 << 8)
+    assert sorted(map(tuple, registry.bpe_digests(frame(spark, rows)).collect())) == want
+    one = bpe.encode(frame(spark, rows), RANKS, public_tokenizers.PATTERN, buckets=1)
+    assert one.count() == len(rows)
+
+
 def test_bpe_of_odd_rows(spark, monkeypatch):
     monkeypatch.setattr(bpe, "CHUNK_BYTES", 1 << 16)
     r = rng(4)
