@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -427,6 +428,74 @@ def test_passages_quoted_before(spark):
     assert {(g.doc_id, g.start_word, g.end_word, g.other_id) for g in got} == {(500, 30, 230, 501), (501, 30, 230, 500)}
 
 
+def test_fuzzy_passages_quoted_before(spark):
+    """Two fuzzy copies, each seed of which short texts with smaller ids have too, and a text that quotes pieces of
+    a passage before it has it whole."""
+    r = rng(54)
+    p = prose(r, 100, 100_000).split()
+    q = [f"edit{j}" if j % 13 == 12 else w for j, w in enumerate(p)]
+    rows = [(i, " ".join([prose(r, 20, 100_000), *p[a : a + 12], prose(r, 20, 100_000)])) for i, a in enumerate(range(0, 92, 2))]
+    rows += [(500 + i, " ".join([prose(r, 30, 100_000), *w, prose(r, 30, 100_000)])) for i, w in enumerate((p, q))]
+    assert not passage_seeds(" ".join(p)) & passage_seeds(" ".join(q)) - set().union(*(passage_seeds(t) for _, t in rows[:-2]))
+    p = prose(r, 60, 100_000).split()
+    pieces = [" ".join([*p[a : a + 12], prose(r, 20, 100_000)]) for a in range(0, 52, 2)]
+    rows += [(600, " ".join([*pieces, *p])), (601, " ".join([prose(r, 30, 100_000), *p]))]
+    got = passages.repeated_passages(frame(spark, rows)).collect()
+    assert {(g.doc_id, g.start_word, g.end_word, g.other_id) for g in got} == {(500, 30, 130, 501), (501, 30, 130, 500), (600, 830, 890, 601), (601, 30, 90, 600)}
+
+
+def test_passages_beside_unlike_words(spark):
+    """Equal passages in a chain with seeds beyond many changed words, and before a weak end."""
+    r, rows = rng(57), []
+    for i in range(6):
+        p, q = prose(r, 60, 100_000), prose(r, 10, 100_000)
+        ends = [f"{prose(r, 38, 100_000)} {q}" for _ in range(2)]
+        tail = prose(r, 60, 100_000).split()
+        weak = [" ".join(w if k % 8 in (5, 6, 7) else f"v{i}{j}{k}" for k, w in enumerate(tail)) for j in range(2)]
+        rows += [(10 * i + j, " ".join([prose(r, 30, 100_000), p, weak[j] if i % 3 else ends[j]])) for j in range(2)]
+    got = passages.repeated_passages(frame(spark, rows)).collect()
+    assert {(g.doc_id, g.other_id) for g in got} >= {(10 * i + j, 10 * i + 1 - j) for i in range(6) for j in range(2)}
+    assert all(g.matched >= 50 and g.matched >= 0.8 * (g.end_word - g.start_word) for g in got)
+
+
+def test_copies_of_unlike_texts_keep_their_links(spark):
+    """Text 3 is like 0 and 2, and 2 like 1, each in the same place; others aren't like each other."""
+    r = rng(55)
+    while True:
+        edit = lambda w, first, name: [f"{name}{j}" if j >= first and (j - first) % 18 < 3 else x for j, x in enumerate(w)]
+        p = prose(r, 100, 100_000).split()
+        b = edit(p, 10, "b")
+        texts = [edit(b, 16, "a"), edit(p, 16, "e"), p, b]
+        has = [passage_seeds(" ".join(t)) for t in texts]
+        if has[3] & has[0] and has[3] & has[2] and has[2] & has[1]:
+            break
+    rows = [(i, " ".join([prose(r, 30, 100_000), *t, prose(r, 30, 100_000)])) for i, t in enumerate(texts)]
+    got = passages.repeated_passages(frame(spark, rows)).collect()
+    links = {tuple(sorted((g.doc_id, g.other_id))) for g in got}
+    assert links == {(0, 3), (2, 3), (1, 2)}
+
+
+def test_likely_texts_against_all_pairs():
+    r = np.random.default_rng(56)
+
+    def in_common(a, b):
+        return sum((Counter(a) & Counter(b)).values())
+
+    some = 0
+    for _ in range(30):
+        base = [r.integers(0, 300, 90, dtype=np.uint32) for _ in range(3)]
+        around = [np.where(r.random(90) < r.choice([0.6, 0.8, 0.95]), base[i % 3], r.integers(0, 60, 90, dtype=np.uint32)).astype(np.uint32) for i in range(24)]
+        ids, open_, at = r.integers(0, 20, 24).tolist(), (r.random(24) < 0.6).tolist(), (40 + r.integers(0, 2, 24)).tolist()
+        got = {(i, j) for i, others in passages.likely(ids, at, open_, [a.tobytes() for a in around], 50, 0.8) for j in others}
+        side = lambda i, j, k: (j >= at[i]) + (j >= at[i] + k)
+        lists = [[(side(i, j, 6), w) for j, w in enumerate(a.tolist())] for i, a in enumerate(around)]
+        pairs = [[(side(i, j, 5), *two) for j, two in enumerate(zip(a.tolist(), a[1:].tolist()))] for i, a in enumerate(around)]
+        want = {(i, j) for i in range(24) for j in range(24) if open_[i] and ids[i] != ids[j] and in_common(lists[i], lists[j]) >= 50 and in_common(pairs[i], pairs[j]) >= 25}
+        assert got == want
+        some += len(want)
+    assert some > 100 and passages.least_pairs(50, 0.8) == 25
+
+
 def test_common_lines_stay_linear(spark, monkeypatch):
     """A short line in very many texts gives no passage and no pairs beyond a star."""
     r = rng(52)
