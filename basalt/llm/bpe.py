@@ -8,7 +8,8 @@ its positions. Words travel in blocks, one for each chunk and hash bucket, so th
 every text costs one entry a chunk, never a row an occurrence. Buckets are as many as the bytes of
 the texts need, so the words of one fit a task at every size of the input.
 
-Decoding joins ids with the table of token bytes, a table of the vocabulary's size, in each worker.
+Decoding joins ids with the table of token bytes, a table of the vocabulary's size, in each worker: of any table
+by decode(), or in the workers that encode.
 """
 
 from __future__ import annotations
@@ -25,13 +26,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basalt.llm.common import lean, saved, ship, utf8, utf8_offsets
-from basalt.llm.pretokens import pretokens
+from basalt.llm.common import byte_groups, lean, lean_group, saved, ship, utf8_offsets
+from basalt.llm.pretokens import pretokens_of
 
 CHUNK_BYTES = 4 << 20
 SLICE_TOKENS = 1 << 18
 #: Bytes of text for each bucket of words, and for each task that puts chunks together.
 BUCKET_BYTES, TASK_BYTES = 8 << 20, 32 << 20
+#: Bytes of ids that are decoded at a time.
+DECODE_BYTES = 1 << 20
 
 
 @functools.cache
@@ -107,14 +110,14 @@ def chunks(batches, first: int):
 
 def ranked(texts) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """Distinct words by falling frequency, the number of the word at each position, bounds of the texts."""
-    words, index, bounds = pretokens(*utf8(texts))
+    words, index, bounds = pretokens_of(texts)
     order = np.argsort(-np.bincount(index, minlength=len(words)), kind="stable")
     rank = np.empty(len(words), np.int64)
     rank[order] = np.arange(len(words))
     return words.take(pa.array(order)).to_pylist(), rank[index], bounds
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None, decoded_col: str | None = None) -> DataFrame:
     """One row for each input row: the id and `ids`, the token ids as little-endian unsigned 32-bit
     integers in one binary value.
 
@@ -126,6 +129,8 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     Two shuffles: blocks of distinct words by hash bucket, and their ids and the positions by chunk.
     buckets: the number of hash buckets; if not given, one for each BUCKET_BYTES of the texts, and at least
     spark.sql.shuffle.partitions. A bucket's distinct words are held in a worker while it is encoded.
+    decoded_col: a column for what decode() makes of the ids, in the worker that has them: a second worker beside
+    it, and ids on their way there, take memory of the executor.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -203,13 +208,25 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
         out = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
         ends = np.concatenate([[0], np.cumsum(sizes[index])])[bounds] * 4
         column = pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(out.astype("<u4").tobytes())])
-        return pa.table([ids, column], names=[id_col, "ids"])
+        found = pa.table([ids, column], names=[id_col, "ids"])
+        if decoded_col is None:
+            return found
+        return pa.Table.from_batches(decoded(found.to_batches(), token_bytes(path), 1, [id_col, "ids", decoded_col]))
 
     words = source.mapInArrow(lean(split), "bucket int, chunk long, words binary").repartition(n, "bucket").sortWithinPartitions("bucket")
     answers = words.mapInArrow(lean(encoded), "chunk long, words binary")
     order = source.mapInArrow(lean(positions), at)
     both = order.unionByName(answers, allowMissingColumns=True)
-    return both.repartition(tasks, "chunk").groupBy("chunk").applyInArrow(reassemble, f"`{id_col}` {kind}, ids binary")
+    return both.repartition(tasks, "chunk").groupBy("chunk").applyInArrow(lean_group(reassemble), f"`{id_col}` {kind}, ids binary" + (f", `{decoded_col}` binary" if decoded_col else ""))
+
+
+def decoded(batches, table: list[bytes], where: int, names: list[str]):
+    """The batches, in parts of DECODE_BYTES of ids, with the bytes of the ids in column `where` as last column."""
+    for batch in batches:
+        for a, b in byte_groups(batch.column(where), DECODE_BYTES):
+            part = batch.slice(a, b - a)
+            out = [None if x is None else b"".join(map(table.__getitem__, np.frombuffer(x, "<u4").tolist())) for x in part.column(where).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], names=names)
 
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -221,11 +238,7 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "
     where = rest.index(ids_col)
 
     def run(batches):
-        table = token_bytes(path).__getitem__
-        for batch in batches:
-            column = batch.column(where)
-            out = [None if x is None else b"".join(map(table, np.frombuffer(x, "<u4").tolist())) for x in column.to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*rest, out_col])
+        yield from decoded(batches, token_bytes(path), where, [*rest, out_col])
 
     from pyspark.sql import types as T
 

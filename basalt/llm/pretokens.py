@@ -11,18 +11,23 @@ from __future__ import annotations
 import functools
 
 import numpy as np
+import pyarrow as pa
 import regex
 
-from basalt.llm.common import slices
+from basalt.llm.common import byte_groups, slices, utf8
 
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
+#: Bytes of text whose characters are classified at a time: each takes some twenty bytes then.
+PART_BYTES = 1 << 19
 
 
 @functools.cache
 def classes() -> np.ndarray:
     """The class of each code point: white space, letter, number or other."""
     table = np.full(0x110000, OTHER, np.uint8)
-    every = "".join(map(chr, range(0xD800))) + "" * 0x800 + "".join(map(chr, range(0xE000, 0x110000)))
+    points = np.arange(0x110000, dtype="<u4")
+    points[0xD800:0xE000] = 0  # surrogates, which no text holds
+    every = points.tobytes().decode("utf-32-le")
     for pattern, kind in ((r"\p{L}+", LETTER), (r"\p{N}+", NUMBER), (r"\p{White_Space}+", SPACE)):
         for m in regex.finditer(pattern, every):
             table[m.start() : m.end()] = kind
@@ -78,3 +83,18 @@ def pretokens(data: bytes, at: np.ndarray):
     begin = starts(data, at)
     coded = slices(data, begin).dictionary_encode()
     return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False), np.searchsorted(begin, at)
+
+
+def pretokens_of(texts: pa.ChunkedArray):
+    """pretokens() of a string column without nulls, PART_BYTES of its texts at a time."""
+    parts, counts = [], [np.zeros(1, np.int64)]
+    for column in texts.chunks:
+        for a, b in byte_groups(column, PART_BYTES):
+            data, at = utf8(column.slice(a, b - a))
+            begin = starts(data, at)
+            parts.append(slices(data, begin).dictionary_encode())
+            counts.append(np.searchsorted(begin, at[1:]) + counts[-1][-1])
+    coded = pa.chunked_array(parts, pa.dictionary(pa.int32(), pa.binary())).unify_dictionaries()
+    words = coded.chunk(0).dictionary if parts else pa.array([], pa.binary())
+    index = np.concatenate([np.zeros(0, np.int32), *(c.indices.to_numpy(zero_copy_only=False) for c in coded.chunks)])
+    return words, index, np.concatenate(counts)

@@ -5,6 +5,7 @@ import math
 import random
 import re
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -18,8 +19,8 @@ from tokenizers import Tokenizer
 
 from basalt.llm import bpe, language, registry, secret_scan, token_counts, words
 from basalt.llm.common import utf8
-from basalt.llm.pretokens import pretokens
-from tests.llm.helpers import components, frame, odd_rows, rng, shingles  # noqa: F401
+from basalt.llm.pretokens import classes, pretokens, pretokens_of
+from tests.llm.helpers import components, frame, odd_rows, prose, rng, shingles  # noqa: F401
 
 JSON, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 ALPHABET = [*"ab strelvmd''  \n\t019é!?.-ñ 　中²½𝔸🙂́\x1c", "<|endoftext|>", "<|end", "oftext|>"]
@@ -317,3 +318,40 @@ def test_dictionary_of_the_corpus(spark):
     found = secret_scan.dictionary(docs, "text")
     assert found.endswith(b"token my_vault_name") or b"my_vault_name" in found[-60:]
     assert b"q8Zt5" not in found and b"far_away" not in found and secret_scan.dictionary(frame(spark, []), "text") == secret_scan.COMMON
+
+
+def test_bpe_has_one_python_worker_a_task(spark):
+    docs = frame(spark, odd_rows(rng(3)))
+    plan = registry.bpe_digests(docs)._jdf.queryExecution().executedPlan().toString()
+    last = plan[: plan.index("Exchange")]
+    assert len(re.findall("InArrow", last)) == 1
+    one = bpe.encode(docs, RANKS, public_tokenizers.PATTERN, decoded_col="text")
+    two = bpe.decode(bpe.encode(docs, RANKS, public_tokenizers.PATTERN), RANKS, out_col="text")
+    assert one.schema == two.schema and sorted(map(repr, one.collect())) == sorted(map(repr, two.collect()))
+
+
+def test_bpe_takes_little_memory_at_a_time():
+    r = rng(31)
+    texts = [prose(r, 300, 50_000) for _ in range(1400)]
+    column = pa.chunked_array([pa.array(texts[:900]), pa.array([], pa.string()), pa.array(texts[900:])])
+    words_, index, bounds = pretokens_of(column)
+    found, at, ends = pretokens(*utf8(column))
+    assert words_.equals(found) and np.array_equal(index, at) and np.array_equal(bounds, ends)
+    assert [len(x) for x in pretokens_of(pa.chunked_array([], pa.string()))] == [0, 0, 1]
+    tracemalloc.start()
+    bpe.ranked(column)
+    assert tracemalloc.get_traced_memory()[1] < 10 * column.nbytes
+    tracemalloc.stop()
+    classes.cache_clear()
+    tracemalloc.start()
+    classes()
+    assert tracemalloc.get_traced_memory()[1] < 32 << 20
+    tracemalloc.stop()
+
+    ids = [None, b"", np.arange(200_000, dtype="<u4").tobytes(), *[np.arange(i % 50, dtype="<u4").tobytes() for i in range(9000)]]
+    table = [b"%d " % i for i in range(200_000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(ids))), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+    parts = list(bpe.decoded([batch, batch.slice(0, 0), batch.slice(1, 2)], table, 1, ["doc_id", "ids", "decoded"]))
+    assert all(p.num_rows == 1 or sum(map(len, filter(None, p.column(1).to_pylist()))) <= bpe.DECODE_BYTES for p in parts)
+    want = [(i, x if x is None else b"".join(table[j] for j in np.frombuffer(x, "<u4"))) for i, x in enumerate(ids)]
+    assert [p for q in parts for p in zip(q.column(0).to_pylist(), q.column(2).to_pylist(), strict=True)] == want + want[1:3]
