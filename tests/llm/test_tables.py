@@ -509,6 +509,42 @@ def test_common_lines_stay_linear(spark, monkeypatch):
     assert sum(seen) <= 300 * 20
 
 
+def test_like_surroundings_of_no_passage_stay_linear(spark, monkeypatch):
+    """Many texts with a line between the same words in other orders, and two of them with a passage around it: no
+    pairs of whole texts but a star and those with a passage."""
+    r = rng(58)
+    line, before, after = prose(r, 32, 100_000), prose(r, 40, 100_000).split(), prose(r, 40, 100_000).split()
+    shuffled = lambda blocks: " ".join(r.sample(blocks, len(blocks)))
+    rows = [(i, f"{prose(r, 120, 100_000)} {shuffled(before)} {line} {shuffled(after)} {prose(r, 120, 100_000)}") for i in range(60)]
+    whole = f"{' '.join(before)} {line} {' '.join(after)}"
+    rows += [(100 + i, f"{prose(r, 30 + 70 * i, 100_000)} {whole} {prose(r, 120, 100_000)}") for i in range(2)]
+    seen, saved = [], passages.saved
+    monkeypatch.setattr(passages, "saved", lambda df, name, **k: (out := saved(df, name, **k), name == "chains" and seen.append(out.count()))[0])
+    got = passages.repeated_passages(frame(spark, rows)).collect()
+    assert {(g.doc_id, g.start_word, g.end_word, g.other_id) for g in got} >= {(100, 30, 142, 101), (101, 100, 212, 100)}
+    assert len(got) < 10 and sum(seen) <= 2 * 62, (len(got), seen)
+
+
+def test_passages_beside_a_match():
+    """Around a match: passages within these words and beyond them, and words in another order."""
+    r = np.random.default_rng(59)
+    new = lambda n: r.integers(0, 2**32, n, dtype=np.uint32)
+    seed, p, q = new(6), new(40), new(40)
+    a, b = (np.concatenate([new(60), p, seed, q, new(60)]) for _ in range(2))
+    assert passages.beside(a, b, 100, 100, 50, 0.8) == ((60, 146, 60, 146, 86), False)
+    changed = np.where(np.arange(40) % 9 == 8, new(40), q)
+    b = np.concatenate([new(60), p[:20], new(2), p[20:], seed, changed, new(60)])[2:]
+    (x0, x1, y0, y1, same), on = passages.beside(a, b, 100, 100, 50, 0.8)
+    assert (x0, y0, same) == (60, 58, 82) and 142 <= x1 <= 146 and same >= 0.8 * (y1 - y0) and not on
+    mixed = np.concatenate([new(60), p[30:], p[20:30], p[10:20], p[:10], seed, q[30:], q[20:30], q[10:20], q[:10], new(60)])
+    assert passages.beside(a, mixed, 100, 100, 50, 0.8) == (None, False)
+    rough = np.concatenate([np.where(np.arange(100) % 15 < 9, a[:100], new(100)), seed, np.where(np.arange(100) % 15 < 9, a[106:], new(100))])
+    assert passages.beside(a, rough, 100, 100, 50, 0.8) == (None, True)
+    texts = [np.tile(new(24), 9)[:206]] * 30  # a text that repeats itself, in two texts
+    rows = passages.tries(1, [0] * 15 + [1] * 15, [100 + 24 * i for i in range(15)] * 2, [True] * 30, [t.tobytes() for t in texts], 0, 4, 50, 0.8)
+    assert len({(a, x) for _, a, _, x, *_ in rows}) == 15 and all(row[-2] >= 50 for row in rows)
+
+
 @pytest.mark.parametrize("n,identity,least", [(100, 0.95, 0.98), (100, 0.9, 0.95), (70, 0.9, 0.9), (100, 0.85, 0.9)])
 def test_recall_of_fuzzy_passages(n, identity, least):
     """Copies with evenly likely changed words, from seeds to alignment, against the words that stayed."""
