@@ -606,3 +606,61 @@ def test_common_words_against_a_plain_version():
         for w in a:
             row = [0, *itertools.accumulate((max(row[j + 1], row[j] + 1 if w == v else 0) for j, v in enumerate(b)), max)]
         assert passages.common(np.array(a, np.uint32), np.array(b, np.uint32)) == row[-1]
+
+
+def words_beside(r, word, before, after):
+    """Stretches of said-again words, of which one holds the match."""
+    other = lambda: [int(r.integers(10, 10**9))] * int(r.integers(14, 60))
+    left, right = [word] * before, [word] * after
+    while len(left) < passages.REACH:
+        left = other() + left
+    while len(right) < passages.REACH:
+        right += other()
+    return np.array([*left[-passages.REACH :], *[word] * passages.K, *right[: passages.REACH]], np.uint32)
+
+
+def test_words_said_again_are_ruled_out():
+    """Stretches that share one word, said again and again: those without a passage are known by their words."""
+    r = np.random.default_rng(62)
+    texts = [words_beside(r, 7, int(r.integers(0, 20)), int(r.integers(0, 20))) for _ in range(40)]
+    texts += [words_beside(r, 7, 100, 100)] * 20
+    ok, on = passages.hopeful(texts, [100] * 60, 0, list(range(1, 60)), 50, 0.8)
+    for j, (may, may_on) in enumerate(zip(ok, on, strict=True), 1):
+        passage, goes_on = passages.beside(texts[0], texts[j], 100, 100, 50, 0.8)
+        assert (may or not passage) and (may_on or not goes_on)
+    assert ok.sum() < 20
+
+
+def test_hopeful_rules_nothing_out_that_is_found():
+    r, found = np.random.default_rng(63), 0
+    for _ in range(60):
+        base = r.integers(0, 40, 206)
+        texts = []
+        for _ in range(8):
+            w = np.where(r.random(206) < r.choice([0.5, 0.75, 0.9]), base, r.integers(0, 400, 206)).tolist()
+            for p in r.integers(0, 90, 4).tolist():
+                w[p : p + int(r.integers(0, 9))] = [int(r.integers(0, 40))] * int(r.integers(0, 9))
+            w = [*w[:100], *base[100:106].tolist(), *w[-100:]]
+            texts.append(np.array([0] * (206 - len(w)) + w, np.uint32)[-206:])
+        ok, on = passages.hopeful(texts, [100] * 8, 0, list(range(1, 8)), 50, 0.8)
+        for j, (may, may_on) in enumerate(zip(ok, on, strict=True), 1):
+            passage, goes_on = passages.beside(texts[0], texts[j], 100, 100, 50, 0.8)
+            assert (may or not passage) and (may_on or not goes_on)
+            found += bool(passage) + goes_on
+    assert found > 20
+
+
+def test_work_of_a_seed_is_dealt_out(spark, monkeypatch):
+    """A seed with many open occurrences in several parts gives what it gives in one."""
+    r = rng(64)
+    word = next(w for w in (f"again{i}" for i in range(1000)) if next(iter(passage_seeds(" ".join([w] * 6)))) < 2**64 // passages.SHARE)
+    rows = [(i, " ".join([prose(r, 30, 100_000), *[word] * (8 + i % 9), prose(r, 30, 100_000)])) for i in range(12)]
+    near = prose(r, 25, 100_000)
+    rows += [(100 + i, " ".join([prose(r, 30, 100_000), near, *[word] * 12, near, prose(r, 30, 100_000)])) for i in range(3)]
+    want = sorted(passages.repeated_passages(frame(spark, rows)).collect())
+    seen, dealt = [], passages.dealt
+    monkeypatch.setattr(passages, "dealt", lambda near: (out := dealt(near), seen.append((near.count(), out.count(), near.where("open").count(), out.where("open").count())))[0])
+    monkeypatch.setattr(passages, "OPEN", 4)
+    got = sorted(passages.repeated_passages(frame(spark, rows)).collect())
+    assert got == want and len(want) >= 3
+    assert seen[0][1] > seen[0][0] and seen[0][2] == seen[0][3]
